@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sonora.llm import media, quality, sql, url_filter
+from sonora.llm import language_id, media, quality, sql, url_filter
 from sonora.llm.common import table
 
 
@@ -16,6 +16,11 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages"))
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return language_id.identify(docs, language_id.fit(docs))
+
+
 def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.digests(table(spark, sf_dir, "documents"))
 
@@ -23,6 +28,7 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op7_url_filter": op7_url_filter,
+    "op9_language_id": op9_language_id,
     "op10_media_columns": op10_media_columns,
 }
 ORACLE_SQL: dict[str, str] = {
