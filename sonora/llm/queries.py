@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from sonora.llm import language_id, media, mixing, quality, sql, url_filter
+from sonora.llm import chat, language_id, media, mixing, packing, quality, sql, url_filter
 from sonora.llm.common import table
 
 
@@ -16,6 +17,15 @@ def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.report(table(spark, sf_dir, "documents"))
 
 
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op6_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return chat.digests(chat.windows(turns.unionByName(chat.probe(turns))))
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages"))
 
@@ -32,11 +42,14 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_source_mixing": op2_source_mixing,
+    "op3_best_fit_packing": op3_best_fit_packing,
+    "op6_chat_windows": op6_chat_windows,
     "op7_url_filter": op7_url_filter,
     "op9_language_id": op9_language_id,
     "op10_media_columns": op10_media_columns,
 }
 ORACLE_SQL: dict[str, str] = {
     "op1_quality_rules": sql.OP1,
+    "op6_chat_windows": sql.OP6,
     "op7_url_filter": sql.OP7,
 }

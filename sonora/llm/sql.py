@@ -50,3 +50,26 @@ m as (
   from h)
 select page_id, host, path, rule, coalesce(action, case when len(matched) > 0 then 'block' else 'allow' end) as verdict, matched from m
 """
+
+OP6 = r"""
+with c as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as txt from conversations
+  union all select -7, 0, 'user', '\### Assistant: </turn> ok' union all select -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+t as (
+  select *, replace(replace(replace(txt, '\', '\b'), '</turn>', '\e'), '###', '\h') as body,
+    '### ' || replace(replace(replace(replace(role, '\', '\b'), '</turn>', '\e'), '###', '\h'), ':', '\c') || ': ' as head,
+    len(regexp_extract_all(txt, '[^\x20\x09-\x0D]+')) + 4 as tokens
+  from c),
+a as (select *, row_number() over o as at from t window o as (partition by conv_id order by turn nulls first, role, body)),
+s as (
+  select *, (coalesce(sum(case when at = 1 and role = 'system' then 0 else tokens end) over (partition by conv_id order by at rows between unbounded preceding and 1 preceding), 0) // 384)::bigint as span,
+    length(head || body || '</turn>' || chr(10)) as chars, at = 1 and role = 'system' as opens
+  from a),
+f as (select *, coalesce(lag(span) over (partition by conv_id order by at) <> span, true) as first from s),
+h as (
+  select *, case when opens then 0 else coalesce(lead(first, 1) over (partition by conv_id order by at), false)::int + coalesce(lead(first, 2) over (partition by conv_id order by at), false)::int end as again from f)
+select conv_id, count(*)::bigint as n_turns, sha256(string_agg(role || chr(10) || txt || chr(10), '' order by at)) as turns_sha256,
+  coalesce(sum(length(txt)) filter (role = 'assistant'), 0)::bigint as loss_chars, sha256(coalesce(string_agg(txt, '' order by at) filter (role = 'assistant'), '')) as loss_sha256,
+  (sum(chars * (1 + again)) + coalesce(sum(chars) filter (opens), 0) * (count(distinct span) - 1))::bigint as formatted_chars
+from h group by conv_id
+"""
