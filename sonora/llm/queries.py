@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from sonora.llm import chat, language_id, media, mixing, packing, quality, sql, url_filter
+from sonora.llm import chat, language_id, media, mixing, near_duplicates, packing, quality, sql, url_filter
 from sonora.llm.common import table
 
 
@@ -21,6 +21,10 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.report(table(spark, sf_dir, "documents"))
+
+
 def op6_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     return chat.digests(chat.windows(turns.unionByName(chat.probe(turns))))
@@ -43,6 +47,7 @@ QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_source_mixing": op2_source_mixing,
     "op3_best_fit_packing": op3_best_fit_packing,
+    "op5_near_duplicates": op5_near_duplicates,
     "op6_chat_windows": op6_chat_windows,
     "op7_url_filter": op7_url_filter,
     "op9_language_id": op9_language_id,
