@@ -1,4 +1,8 @@
 """All queries of the reference's own operators, by name."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from sonora.plans import scoring
+
+_MODULES = (scoring,)
+
+QUERIES: dict = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
+ORACLE_SQL: dict = {name: sql for m in _MODULES for name, sql in m.ORACLE_SQL.items()}
