@@ -4,19 +4,16 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import types as T
-
-_ddl = T.StructType.fromDDL
-
+# As DDL: readers and Arrow functions take it as it is.
 WORD = "struct<word:string,start:double,end:double,prob:double>"
 SPAN = "struct<start:double,end:double>"
 
-UTTERANCES = _ddl("utt_id long, samples array<float>, sample_rate int, reference string, meta map<string,string>")
-SEGMENTS = _ddl(f"utt_id long, seg_id int, start double, end double, text string, avg_logprob double, no_speech_prob double, words array<{WORD}>")
-SPANS = _ddl("utt_id long, start double, end double")
-VOTES = _ddl("utt_id long, chunk int, lang string, p double")
-SCORED = _ddl("condition string, seq long, score double, correct boolean")
-POLICIES = _ddl("condition string, n_fit long, knots array<struct<x:double,y:double>>, threshold double, target_risk double, coverage double, realized_risk double, notes string")
+UTTERANCES = "utt_id long, samples array<float>, sample_rate int, reference string, meta map<string,string>"
+SEGMENTS = f"utt_id long, seg_id int, start double, end double, text string, avg_logprob double, no_speech_prob double, words array<{WORD}>"
+SPANS = "utt_id long, start double, end double"
+VOTES = "utt_id long, chunk int, lang string, p double"
+SCORED = "condition string, seq long, score double, correct boolean"
+POLICIES = "condition string, n_fit long, knots array<struct<x:double,y:double>>, threshold double, target_risk double, coverage double, realized_risk double, notes string"
 
 
 @dataclass(frozen=True)
