@@ -4,7 +4,10 @@ from pathlib import Path
 
 import pytest
 
-sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
+HERE = Path(__file__).resolve().parent
+sys.path.insert(0, str(HERE.parent))
+# Python workers import the package and what tests define.
+os.environ["PYTHONPATH"] = os.pathsep.join(filter(None, [str(HERE.parent), str(HERE), os.environ.get("PYTHONPATH")]))
 os.environ.setdefault("SPARK_LOCAL_IP", "127.0.0.1")
 
 
