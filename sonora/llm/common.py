@@ -9,7 +9,7 @@ import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -65,5 +65,10 @@ def map_rows(df: DataFrame, rows: Callable[[list[tuple]], Iterable[tuple]], sche
     return df.mapInArrow(run, target)
 
 
-def text_hash(column: str = "text") -> Column:
-    return F.xxhash64(F.col(column))
+#: Rows of a few numbers that are broadcast at most, some 20 MB.
+BROADCAST_ROWS = 500_000
+
+
+def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """df, a written table of narrow rows, marked for broadcast if it has so few rows; else as it is, to be shuffled."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

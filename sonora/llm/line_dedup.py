@@ -8,7 +8,7 @@ out) comes earlier. Earlier means a smaller (doc_id, line number), null ids last
 1. Lines are hashed (128 bits) and equal lines become one, at its earliest place.
 2. Two lines within one edit agree on the first or on the last half of their words, counted for the
    shorter line. So only lines that share a hashed half with another line are candidates.
-3. A candidate emits the hash of every variant with one word left out, and its own hash. Lines with an
+3. A candidate emits the hash of every variant with one word of the other half left out, and its own. Lines with an
    equal variant at the same word differ in that word, all of them pairwise, so each is joined with the
    earliest of them only; a line that equals another's variant is joined with it. No group of lines is
    listed in pairs.
@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sonora.llm.common import ROWS_AT_ONCE, map_rows, written
+from sonora.llm.common import ROWS_AT_ONCE, map_rows, small, written
 
 #: Shorter lines are compared for equality only: one word is too much of them.
 MIN_WORDS = 8
@@ -37,17 +37,15 @@ MIN_WORDS = 8
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
-def _hash(words: list[bytes], kind: int, n: int) -> int:
-    return xxhash.xxh3_64_intdigest(b" ".join(words), seed=kind << 32 | n) - (1 << 63)
-
-
 def halves(words: list[bytes]) -> list[int]:
-    """Hashes such that two lines within one edit have one in common."""
+    """Hashes such that two lines within one edit have one in common; last halves have odd ones.
+
+    With the first half in common the edit is at (n - 1) // 2 or later, with the last one before (n + 1) // 2.
+    """
     n = len(words)
-    own, shorter = n // 2, (n - 1) // 2
-    found = {_hash(words[:own], 1, own), _hash(words[own:], 2, n - own)}
-    found |= {_hash(words[:shorter], 1, shorter), _hash(words[n - (n - 1 - shorter) :], 2, n - 1 - shorter)}
-    return sorted(found)
+    first, last = {n // 2, (n - 1) // 2}, {n - n // 2, n - 1 - (n - 1) // 2}
+    keys = [(words[:k], k, 0) for k in sorted(first)] + [(words[n - k :], k, 1) for k in sorted(last)]
+    return [(xxhash.xxh3_64_intdigest(b" ".join(own), seed=2 * k + odd) & ~1 | odd) - (1 << 63) for own, k, odd in keys]
 
 
 def variants(words: list[bytes]) -> np.ndarray:
@@ -87,13 +85,19 @@ def _place(doc_id: str = "doc_id", number: str = "line_no") -> Column:
     return F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("doc_id"), F.col(number).alias("line_no"))
 
 
-def _candidates(docs: DataFrame, distinct: DataFrame) -> DataFrame:
-    """(line, rank, words as text) of the distinct lines that share a half with another one."""
+def _candidates(docs: DataFrame, distinct: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The distinct lines that share a half with another one, numbered in order of rank, and their words.
+
+    (rank, line, high, low, place, shared) and (rank, shared, words); shared is 1 for first, 2 for last, 3 for both.
+    """
     keys = distinct.filter("halves is not null").select("line", F.explode("halves").alias("half"))
-    shared = keys.groupBy("half").agg(F.count("*").alias("n")).filter("n > 1").select("half")
-    chosen = keys.join(shared, "half").select("line").distinct()
-    chosen = written(distinct.join(chosen, "line", "left_semi").select("line", "high", "low", "place"))
+    met = keys.groupBy("half").agg(F.count("*").alias("n")).filter("n > 1").select("half")
+    kind = F.when(F.col("half").bitwiseAND(F.lit(1)) == 0, F.lit(1)).otherwise(F.lit(2))
+    shared = written(keys.join(met, "half").groupBy("line").agg(F.bit_or(kind).alias("shared")))
+    chosen = distinct.join(shared, "line").select("line", "high", "low", "place", "shared").orderBy("place", "high", "low")
+    chosen = written(chosen.select(F.monotonically_increasing_id().alias("rank"), "*"))  # sorted, so numbers rise with rank
     ids = chosen.select(F.col("place.doc_id").alias("id")).distinct()
+    ids = small(written(ids))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     texts = texts.join(ids, F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
 
@@ -106,38 +110,38 @@ def _candidates(docs: DataFrame, distinct: DataFrame) -> DataFrame:
                     yield doc_id, number, (digest >> 64) - (1 << 63), (digest & 0xFFFFFFFFFFFFFFFF) - (1 << 63), b" ".join(words)
 
     lines = map_rows(texts, again, "doc_id long, line_no int, high long, low long, words binary")
-    met = lines.join(chosen, ["high", "low"]).filter(_place() == F.col("place"))
-    rank = F.struct("place", "high", "low", "line")
-    return written(met.groupBy("line").agg(F.first(rank).alias("rank"), F.first("words").alias("words")))
+    found = lines.join(chosen, ["high", "low"]).filter(_place() == F.col("place"))
+    return chosen, written(found.groupBy("rank").agg(F.first("shared").alias("shared"), F.first("words").alias("words")))
 
 
 def _near(candidates: DataFrame) -> DataFrame:
-    """(line, first_place) of the candidates that an earlier one is within one edit of."""
+    """(rank, other): each candidate that an earlier one is within one edit of, and the earliest of these."""
 
     def emit(batch: list[tuple]) -> Iterable[tuple]:
-        for line, words in batch:
+        for rank, shared, words in batch:
             found = variants(words.split(b" ")).tolist()
-            for at, value in enumerate(found):
-                yield value, at if at < len(found) - 1 else -1, line
-
-    emitted = written(map_rows(candidates.select("line", "words"), emit, "variant long, at int, line long"))
-    ranked = emitted.join(candidates.select("line", "rank"), "line")
-    replaced = ranked.filter("at >= 0")
-    first = replaced.groupBy("variant", "at").agg(F.min("rank").alias("first"), F.count("*").alias("n")).filter("n > 1")
-    same_place = replaced.join(first, ["variant", "at"]).filter(F.col("first") < F.col("rank")).select("line", F.col("first.line").alias("other"))
-    whole = ranked.filter("at < 0").select("variant", F.col("line").alias("short"), F.col("rank").alias("short_rank"))
-    longer = replaced.join(whole, "variant")
-    later = F.col("short_rank") < F.col("rank")
-    added = longer.select(F.when(later, F.col("line")).otherwise(F.col("short")).alias("line"), F.when(later, F.col("short")).otherwise(F.col("line")).alias("other"))
+            n = len(found) - 1
+            yield found[n], -1, rank
+            for at in range(0 if shared & 2 else (n - 1) // 2, n if shared & 1 else (n + 1) // 2):
+                yield found[at], at, rank
+
+    emitted = written(map_rows(candidates, emit, "variant long, at int, rank long"))
+    met = emitted.groupBy("variant").agg(F.count("*").alias("n")).filter("n > 1").select("variant")
+    emitted = written(emitted.join(met, "variant", "left_semi"))
+    replaced = emitted.filter("at >= 0")
+    first = replaced.groupBy("variant", "at").agg(F.min("rank").alias("other"))
+    same_place = replaced.join(first, ["variant", "at"]).filter("other < rank").select("rank", "other")
+    whole = emitted.filter("at < 0").select("variant", F.col("rank").alias("short"))
+    added = replaced.join(whole, "variant").select(F.greatest("rank", "short").alias("rank"), F.least("rank", "short").alias("other"))
     pairs = same_place.union(added).distinct()
-    sides = pairs.join(candidates.select("line", "words"), "line").join(candidates.select(F.col("line").alias("other"), F.col("words").alias("other_words"), F.col("rank.place").alias("place")), "other")
+    words = candidates.select("rank", "words")
+    sides = pairs.join(words, "rank").join(words.select(F.col("rank").alias("other"), F.col("words").alias("other_words")), "other")
 
     def verify(batch: list[tuple]) -> Iterable[tuple]:
-        return [(line, doc_id, number) for line, a, b, doc_id, number in batch if within_one_edit(a.split(b" "), b.split(b" "))]
+        return [(rank, other) for rank, other, a, b in batch if within_one_edit(a.split(b" "), b.split(b" "))]
 
-    sides = sides.select("line", "words", "other_words", "place.doc_id", "place.line_no")
-    good = map_rows(sides, verify, "line long, first_doc_id long, first_line_no int")
-    return good.groupBy("line").agg(F.min(_place("first_doc_id", "first_line_no")).alias("near"))
+    good = map_rows(sides.select("rank", "other", "words", "other_words"), verify, "rank long, other long")
+    return good.groupBy("rank").agg(F.min("other").alias("other"))
 
 
 def removed(docs: DataFrame) -> DataFrame:
@@ -149,8 +153,10 @@ def removed(docs: DataFrame) -> DataFrame:
     lines = written(map_rows(source, _lines, "doc_id long, text_hash long, line_no int, high long, low long, halves array<long>"))
     distinct = lines.groupBy("high", "low").agg(F.min(_place()).alias("place"), F.first("halves").alias("halves"), F.count("*").alias("n"))
     distinct = written(distinct.select(F.monotonically_increasing_id().alias("line"), "*"))  # fixes the numbers
-    near = _near(_candidates(docs, distinct))
-    known = distinct.join(near, "line", "left").filter("n > 1 or near is not null").select("high", "low", "place", "near")
+    chosen, candidates = _candidates(docs, distinct)
+    near = _near(candidates).join(chosen.select("rank", "line"), "rank")
+    near = near.join(chosen.select(F.col("rank").alias("other"), F.col("place").alias("near")), "other").select("line", "near")
+    known = distinct.drop("halves").join(near, "line", "left").filter("n > 1 or near is not null").select("high", "low", "place", "near")
     found = lines.select("doc_id", "text_hash", "line_no", "high", "low").join(known, ["high", "low"])
     found = found.filter(F.col("near").isNotNull() | (_place() != F.col("place")))
     first = F.coalesce("near", "place")
