@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from sonora.functions.distributions import log_softmax, normalized_entropy
 from sonora.operators.calibration import predict
 from sonora.schemas import DecodeConfig
 
@@ -55,6 +56,18 @@ def dropped_labels(labelled: DataFrame, by: list[str]) -> DataFrame:
     return labelled.groupBy(*by).agg(F.count_if(F.col("correct").isNull()).alias("dropped"), F.count_if(F.col("correct").isNotNull()).alias("kept"))
 
 
+def token_scores(tokens: DataFrame, end_of_text: int | None = None, logits: str = "x") -> DataFrame:
+    """Tokens (token_id, logits) with p, h1 and h2: the chosen token's probability and two normalised entropies.
+
+    Tokens from end_of_text on (time stamps and marks) go; logits are never exploded.
+    """
+    lp = F.col("_lp")
+    text = tokens if end_of_text is None else tokens.filter(F.col("token_id") < end_of_text)
+    scored = text.withColumn("_lp", log_softmax(F.col(logits)))
+    chosen = F.exp(F.try_element_at(lp, (F.col("token_id") + 1).cast("int")))
+    return scored.withColumns({"p": chosen, "h1": normalized_entropy(lp, 1.0), "h2": normalized_entropy(lp, 2.0)}).drop("_lp", logits)
+
+
 def token_words(tokens: DataFrame, by: list[str]) -> DataFrame:
     """(by, word_idx, p, h1, h2) tokens to one row a word: means, and minima of p and h2."""
     return tokens.groupBy(*by, "word_idx").agg(
@@ -109,6 +122,13 @@ def review_words(annotated: DataFrame, by: list[str], seg: str = "seg_id", most:
     return todo.select(*by, F.transform(F.slice("all", 1, most), lambda w: F.struct(w.word.alias("word"), w.reliability.alias("reliability"))).alias("first"), F.greatest(F.size("all") - most, F.lit(0)).alias("more"))
 
 
+def level_table(results: DataFrame, by: list[str]) -> DataFrame:
+    """Per noise level: utterances, mean probability of the language found, mean error rate, flagged segments."""
+    return results.groupBy(*by).agg(
+        F.count("*").alias("utterances"), F.avg("probability").alias("probability"), F.avg("error").alias("error"), F.sum("flagged_segments").alias("flagged_segments")
+    )
+
+
 def segment_record(with_words: bool = True) -> Column:
     """A segment as it is serialised: times to 2 places, scores to 3, words only where there are any."""
     fields = [

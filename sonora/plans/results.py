@@ -51,6 +51,17 @@ def token_to_word_agg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.rounded(R.token_words(tokens.select("utt_id", F.floor(F.col("i") / 4).alias("word_idx"), p.alias("p"), (p / 2).alias("h1"), (p / 3).alias("h2")), BY))
 
 
+def token_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tokens = B.table(spark, sf_dir, "embeddings").select("vec_id", (F.col("vec_id") * 7 % 64).alias("token_id"), F.col("embedding").alias("x"))
+    return B.rounded(R.token_scores(tokens, end_of_text=60))
+
+
+def level_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = R.assembled(R.gated(B.segments(spark, sf_dir)), BY)
+    found = parts.withColumns({"level": F.col("utt_id") % 6, "probability": (F.col("utt_id") % 10) / F.lit(10.0), "error": F.length("text") / F.lit(9973.0)})
+    return B.rounded(R.level_table(found, ["level"]))
+
+
 def window_constancy_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
     segments = B.segments(spark, sf_dir).withColumn("seek", F.floor(F.col("seg_id") / (F.col("utt_id") % 3 + 1)))
     shared = -(F.col("seek") + 1) / F.lit(7.0)
@@ -117,6 +128,8 @@ QUERIES = {
     "dropped_labels": dropped_labels,
     "estimator_report": estimator_report,
     "token_to_word_agg": token_to_word_agg,
+    "token_scores": token_scores,
+    "level_table": level_table,
     "window_constancy_probe": window_constancy_probe,
     "word_reliability": word_reliability,
     "reliability_summary": reliability_summary,
@@ -161,6 +174,11 @@ ORACLE_SQL = {
     "token_to_word_agg": """with t as (select label as utt_id, unnest(range(len(embedding))) // 4 as word_idx, abs(unnest(embedding)::double) as p from embeddings)
       select utt_id, word_idx, round(avg(p), 6) as word_prob, round(min(p), 6) as word_min_prob, round(avg(p / 2), 6) as entropy_h1, round(avg(p / 3), 6) as entropy_h2, round(min(p / 3), 6) as entropy_min_h2
       from t group by 1, 2""",
+    "token_scores": f"""with {B.DISTRIBUTIONS} select vec_id, vec_id * 7 % 64 as token_id, round(max(exp(lp)) filter (idx = vec_id * 7 % 64), 6) as p,
+      round(greatest(0, least(1, 1 + sum(exp(lp) * lp) / ln(any_value(size)))), 6) as h1, round(greatest(0, least(1, 1 + ln(sum(exp(2 * lp))) / ln(any_value(size)))), 6) as h2
+      from lp group by vec_id having vec_id * 7 % 64 < 60""",
+    "level_table": f"""{_GATED}, p as (select utt_id, length(trim(string_agg(trim(text), ' ' order by seg_id))) as n, count(*) filter (flagged) as f from ga group by 1)
+      select utt_id % 6 as level, count(*) as utterances, round(avg((utt_id % 10) / 10::double), 6) as probability, round(avg(n / 9973::double), 6) as error, sum(f)::bigint as flagged_segments from p group by 1""",
     "window_constancy_probe": f"""with {B.SEGMENTS}, s as (select *, seg_id // (utt_id % 3 + 1) as seek from sg),
       c as (select utt_id, count(*) as segments, count(distinct seek) as windows, count(distinct round(case when utt_id % 2 = 0 then -(seek + 1) / 7::double else -(seg_id + 1) / 7::double end, 9)) as distinct_logprob,
         count(distinct round(no_speech_prob, 9)) as distinct_no_speech, count(distinct round(length(text) / 100::double, 9)) as distinct_compression from s group by 1)
