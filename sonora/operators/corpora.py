@@ -56,3 +56,15 @@ def pooled_wer(utterances: DataFrame, by: list[str]) -> DataFrame:
     counted = normal.select(*by, X.token_distance(a, b).cast("long").alias("errors"), F.size(a).cast("long").alias("words"))
     sums = counted.groupBy(*by).agg(F.sum("errors").alias("errors"), F.sum("words").alias("words"))
     return sums.withColumn("wer", F.when(F.col("words") > 0, F.col("errors") / F.col("words")))
+
+
+def smoke_set(spark) -> DataFrame:
+    """(voice, expected, text): one short sentence in each of five languages, to try a provider on."""
+    rows = [
+        ("en", "en", "The train to the coast leaves at half past seven."),
+        ("de", "de", "Der Zug an die Küste fährt um halb acht ab."),
+        ("fr", "fr", "Le train pour la côte part à sept heures et demie."),
+        ("es", "es", "El tren a la costa sale a las siete y media."),
+        ("it", "it", "Il treno per la costa parte alle sette e mezza."),
+    ]
+    return spark.createDataFrame(rows, "voice string, expected string, text string")

@@ -27,3 +27,14 @@ def read_pairs(spark: SparkSession, path: str) -> DataFrame:
 def stamped(table: DataFrame, **facts: str) -> DataFrame:
     """A table with provenance columns: what made it, as given, and Spark's version."""
     return table.withColumns({f"run_{k}": F.lit(v) for k, v in {"spark": table.sparkSession.version, **facts}.items()})
+
+
+def write_study(summary: DataFrame, path: str) -> None:
+    """A study's metrics as JSON, a document for each condition: estimator to metrics.
+
+    summary: a row for each condition and estimator, as metrics.summary() gives it. The pairs themselves go
+    to write_pairs().
+    """
+    metrics = F.struct(*[c for c in summary.columns if c not in ("condition", "estimator")])
+    entries = F.sort_array(F.collect_list(F.struct("estimator", metrics.alias("metrics"))))
+    summary.groupBy("condition").agg(F.map_from_entries(entries).alias("estimators")).write.mode("overwrite").json(path)

@@ -8,6 +8,7 @@ from sonora import cli, providers
 from sonora.analyzer import Analyzer
 from sonora.operators import transcripts as R
 from sonora.operators.calibration import fit_policies
+from sonora.operators.metrics import summary
 from sonora.schemas import SEGMENTS, DecodeConfig
 from sonora.sources import policies as P
 from sonora.sources import results
@@ -113,6 +114,9 @@ def test_sinks(spark, tmp_path):
     pairs = spark.createDataFrame([("clean", "word_prob", 1, 0.5, True)], "condition string, estimator string, seq long, score double, correct boolean")
     results.write_pairs(pairs, str(tmp_path / "s"))
     assert results.read_pairs(spark, str(tmp_path / "s")).count() == 1
+    results.write_study(summary(pairs.drop("seq").withColumn("seq", F.lit(1)), ["condition", "estimator"]), str(tmp_path / "m"))
+    study = json.loads(spark.read.text(str(tmp_path / "m")).first()[0])
+    assert study["condition"] == "clean" and study["estimators"]["word_prob"]["n"] == 1
     assert results.stamped(pairs, model="m").first().run_model == "m"
 
 

@@ -62,6 +62,7 @@ def test_corpora(spark):
     assert sorted((r.id, r.speaker) for r in kept.collect()) == [(1, "a"), (2, "a"), (5, "?"), (7, "b")]
     assert [r.id for r in corpora.round_robin(kept, "id", 3).orderBy("place").collect()] == [1, 5, 7]
     assert corpora.usable(df, "id", "speaker", scan=1).count() == 1
+    assert corpora.smoke_set(spark).filter("voice = expected").count() == 5
     pairs = spark.createDataFrame([("c", 1, "a b", "a b c"), ("c", 2, "c d", "d")], "g string, id int, ref string, hyp string")
     assert corpora.joined_wer(pairs, ["g"], "id").first().wer == 0
     assert corpora.pooled_wer(pairs, ["g"]).first().wer == 0.5
