@@ -2,8 +2,10 @@ r"""Near-duplicate documents by SetSketch registers.
 
 A document's set holds the distinct shingles of its words (A-Z lower-cased runs of anything but space
 and \t to \r); a text of fewer words than a shingle has its whole sequence as one. A sketch has 256
-registers: truncated minima over exponentially distributed values, exponentially spaced with base BASE,
-so that a sketch of a union is the registerwise maximum and equal registers mean similar sets.
+registers of 16 bits: truncated minima over exponentially distributed values, exponentially spaced with
+base BASE, so that a sketch of a union is the registerwise maximum and equal registers mean similar sets.
+The base is close to 1 so that unlike sets rarely have a register in common: else the chance candidates,
+which grow with the square of the documents, would outnumber the true ones.
 
 1. Documents with equal sets become one node (128-bit digests of whole sets).
 2. Bands of registers are hashed; nodes that share a band are candidates. With the bands chosen for the
@@ -35,10 +37,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from sonora.llm.common import map_rows, written
+from sonora.llm.common import map_rows, small, written
 from sonora.llm.components import connected
 
-REGISTERS, BASE, RATE, TOP = 256, 1.2, 20.0, 255
+REGISTERS, BASE, RATE, TOP = 256, 1.001, 20.0, 65535
 #: Buckets of more nodes go the way of the prefix filter.
 ENUMERATED = 24
 #: A pair is not verified if its estimate is this far under the threshold (over six standard deviations).
@@ -111,7 +113,7 @@ def _minima(flat: np.ndarray, keys: np.ndarray, doc: np.ndarray, step: np.ndarra
 
 
 def sketches(sets: list[np.ndarray]) -> np.ndarray:
-    """Registers of each set: [set, 256] of uint8.
+    """Registers of each set: [set, 256] of uint16.
 
     A shingle visits the registers in an order of its own, with values from ever higher strata of the
     exponential distribution. So a set is done once all its registers have a value.
@@ -142,8 +144,8 @@ def sketches(sets: list[np.ndarray]) -> np.ndarray:
     share = (values.astype(np.float64) / 2.0**32 + 2.0**-33) / REGISTERS
     minimum = -np.log1p(-np.minimum(share, 1 - 2.0**-45)) / RATE
     registers = np.floor(1 - np.log(minimum) / math.log(BASE))
-    registers = np.clip(registers, 0, TOP).astype(np.uint8)
-    return np.where(values == none, 0, registers.ravel()).astype(np.uint8).reshape(-1, REGISTERS)
+    registers = np.clip(registers, 0, TOP)
+    return np.where(values == none, 0, registers).astype("<u2").reshape(-1, REGISTERS)
 
 
 def estimated(left: np.ndarray, right: np.ndarray, n_left: np.ndarray, n_right: np.ndarray, steps: int = 101) -> np.ndarray:
@@ -172,15 +174,16 @@ def described(docs: DataFrame, rule: Rule) -> DataFrame:
 
 
 def _whole_sets(docs: DataFrame, wanted: DataFrame, rule: Rule) -> DataFrame:
-    """(node, shingles) of the wanted (node, doc_id, text_hash), read from the texts again."""
+    """(node, shingles) of the wanted (node, doc_id, text_hash), a written table, read from the texts again."""
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("hash"), "text")
-    found = wanted.join(texts, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_hash") == F.col("hash"))).select("node", "text")
+    found = small(wanted).join(texts, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_hash") == F.col("hash"))).select("node", "text")
     sets = map_rows(found, lambda batch: [(k, shingles(t, rule.shingle).tobytes()) for k, t in batch], "node long, shingles binary")
     return sets.groupBy("node").agg(F.first("shingles").alias("shingles"))  # one of repeated rows
 
 
 def _sided(pairs: DataFrame, facts: DataFrame) -> DataFrame:
-    """(a, b) with the facts of both, named a_* and b_*."""
+    """(a, b), a written table, with the facts of both, named a_* and b_*."""
+    pairs = small(pairs)
     for side in ("a", "b"):
         named = [F.col("node").alias(side), *[F.col(c).alias(f"{side}_{c}") for c in facts.columns if c != "node"]]
         pairs = pairs.join(facts.select(*named), side)
@@ -193,7 +196,7 @@ def _verified(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, rule: Rule) -
 
     def likely(batch: list[tuple]) -> Iterable[tuple]:
         a, b, n, left, m, right = zip(*batch, strict=True)
-        grid = [np.frombuffer(b"".join(x), np.uint8).reshape(-1, REGISTERS) for x in (left, right)]
+        grid = [np.frombuffer(b"".join(x), "<u2").reshape(-1, REGISTERS) for x in (left, right)]
         score = estimated(*grid, np.array(n, np.float64), np.array(m, np.float64))
         return [(x, y) for x, y, s in zip(a, b, score, strict=True) if s >= least]
 
@@ -219,20 +222,22 @@ def _across_small(buckets: DataFrame) -> DataFrame:
     return left.join(right, "bucket").filter("a_root < b_root").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def _across_large(buckets: DataFrame, nodes: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
+def _across_large(buckets: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
     """The pairs across components, in buckets of many nodes, that pass the prefix and position filter."""
     wanted = buckets.filter(F.col("n") > ENUMERATED).select("node", "root").distinct()
     listed = map_rows(
         wanted.join(sets, "node").select("node", "root", "shingles"),
-        lambda batch: ((k, r, s) for k, r, raw in batch for s in np.frombuffer(raw, np.int64).tolist()),
-        "node long, root long, shingle long",
+        lambda batch: ((k, r, len(raw) // 8, s) for k, r, raw in batch for s in np.frombuffer(raw, np.int64).tolist()),
+        "node long, root long, n_shingles long, shingle long",
     )
     listed = written(listed)
-    counts = listed.groupBy("shingle").agg(F.count("*").alias("n"))
-    rare = listed.join(counts, "shingle").join(nodes.select("node", "n_shingles"), "node")
-    rare = rare.withColumn("at", F.row_number().over(W.partitionBy("node").orderBy("n", "shingle")) - 1)
+    counts = listed.groupBy("shingle").agg(F.count("*").alias("n")).filter("n > 1")
+    shared = listed.join(counts, "shingle")  # a node's other shingles are its own and come first in its order
+    own = W.partitionBy("node")
+    first = F.col("n_shingles") - F.count("*").over(own)
+    rare = shared.withColumn("at", first + F.row_number().over(own.orderBy("n", "shingle")) - 1)
     needed = F.ceil(F.col("n_shingles") * rule.percent / 100)
-    index = written(rare.filter((F.col("at") <= F.col("n_shingles") - needed) & (F.col("n") > 1)).select("shingle", "node", "root", "n_shingles", "at"))
+    index = written(rare.filter(F.col("at") <= F.col("n_shingles") - needed).select("shingle", "node", "root", "n_shingles", "at"))
     by_root = index.groupBy("shingle", "root").agg(F.count("*").alias("n"))
     main = by_root.groupBy("shingle").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count("*").alias("roots")).filter("roots > 1").drop("roots")
     left = index.join(main, "shingle").filter("root <> main")
@@ -247,20 +252,22 @@ def _across_large(buckets: DataFrame, nodes: DataFrame, sets: DataFrame, rule: R
 def _links(docs: DataFrame, nodes: DataFrame, rule: Rule) -> DataFrame:
     """Links (a, b) that connect all nodes that the rule connects."""
     rows = rule.rows
-    bands = [F.xxhash64(F.lit(k), F.substring("registers", k * rows + 1, rows)) for k in range(REGISTERS // rows)]
+    bands = [F.xxhash64(F.lit(k), F.substring("registers", 2 * k * rows + 1, 2 * rows)) for k in range(REGISTERS // rows)]
     keys = nodes.select("node", F.explode(F.array(*bands)).alias("bucket"))
     counts = keys.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
     buckets = written(keys.join(counts, "bucket"))
     weight = buckets.groupBy("node").agg(F.sum("n").alias("weight"))
     weighed = buckets.join(weight, "node")
     hubs = weighed.groupBy("bucket").agg(F.max_by("node", F.struct("weight", "node")).alias("hub"))
-    pairs = buckets.join(hubs, "bucket").filter("node <> hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
-    sets = written(_whole_sets(docs, nodes.join(weight.select("node"), "node", "left_semi").select("node", "doc_id", "text_hash"), rule))
+    pairs = buckets.join(hubs, "bucket").filter("node <> hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
+    pairs = written(pairs.distinct())
+    wanted = written(nodes.join(weight.select("node"), "node", "left_semi").select("node", "doc_id", "text_hash"))
+    sets = written(_whole_sets(docs, wanted, rule))
     first = written(_verified(pairs, nodes, sets, rule))
     rooted = buckets.join(connected(first), "node", "left").withColumn("root", F.coalesce("root", "node"))
     several = rooted.groupBy("bucket").agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least < most").select("bucket")
     open_ = written(rooted.join(several, "bucket", "left_semi"))
-    rest = written(_across_small(open_).union(_across_large(open_, nodes, sets, rule)).distinct().join(pairs, ["a", "b"], "left_anti"))
+    rest = written(_across_small(open_).union(_across_large(open_, sets, rule)).distinct().join(pairs, ["a", "b"], "left_anti"))
     return first.union(_verified(rest, nodes, sets, rule))
 
 
