@@ -31,6 +31,8 @@ SLICE = 1 << 18
 SAMPLE_ROWS = 2400
 
 _MULTIPLIER = np.uint32(0x9E3779B1)
+#: The sample's shares travel as half floats, so many times themselves that small ones are kept.
+_SCALE = 4096.0
 
 
 def _clean(text: str) -> bytes:
@@ -99,11 +101,11 @@ def counted(text: str) -> tuple[np.ndarray, np.ndarray]:
     return at, (counts[at] / max(1, counts.sum())).astype(np.float32)
 
 
-def train(features: list[tuple[np.ndarray, np.ndarray]], labels: list[str], dimensions: int = 16, epochs: int = 12, rate: float = 8.0, reject_share: float = 0.002, seed: int = 7) -> Model:
+def train(features: list[tuple[np.ndarray, np.ndarray]], labels: list[str], dimensions: int = 16, epochs: int = 12, rate: float = 8.0, reject_share: float = 0.002, seed: int = 7, scale: float = 1.0) -> Model:
     """Fits embeddings and layer by stochastic gradient descent; every fifth row calibrates.
 
     The rejection threshold is the score that all but reject_share of the rightly predicted
-    calibration rows reach, at most a half.
+    calibration rows reach, at most a half. Shares are divided by scale.
     """
     languages = sorted(set(labels))
     if not languages:
@@ -118,7 +120,7 @@ def train(features: list[tuple[np.ndarray, np.ndarray]], labels: list[str], dime
     for epoch in range(epochs):
         step = rate * (1 - epoch / epochs)
         for at in rng.permutation(own):
-            where, share = features[at]
+            where, share = features[at][0], features[at][1].astype(np.float32) / scale
             vector = share @ table[where]
             error = _softmax(vector @ layer + bias)
             error[y[at]] -= 1
@@ -129,7 +131,7 @@ def train(features: list[tuple[np.ndarray, np.ndarray]], labels: list[str], dime
     odds = (table @ layer).astype(np.float32)
     model = Model(languages, odds, bias.astype(np.float64))
     rows = np.flatnonzero(held) if held.any() else own
-    logits = np.array([features[i][1] @ odds[features[i][0]] + bias for i in rows], np.float64)
+    logits = np.array([features[i][1].astype(np.float32) / scale @ odds[features[i][0]] + bias for i in rows], np.float64)
     loss = lambda t: -np.log(_softmax(logits / t)[np.arange(len(rows)), y[rows]] + 1e-12).mean()
     model.temperature = float(min(np.geomspace(0.05, 5, 60), key=loss))
     p = _softmax(logits / model.temperature)
@@ -163,12 +165,12 @@ def fit(docs: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
         for lang, text in batch:
             where, part = counted(text)
             if len(where):
-                out.append((lang, where.astype(np.int32).tobytes(), part.tobytes()))
+                out.append((lang, where.astype(np.uint16).tobytes(), (part * _SCALE).astype(np.float16).tobytes()))
         return out
 
     found = map_rows(sample, encode, "lang string, buckets binary, shares binary").collect()
-    features = [(np.frombuffer(r.buckets, np.int32).astype(np.int64), np.frombuffer(r.shares, np.float32)) for r in found]
-    return train(features, [r.lang for r in found])
+    features = [(np.frombuffer(r.buckets, np.uint16), np.frombuffer(r.shares, np.float16)) for r in found]
+    return train(features, [r.lang for r in found], scale=_SCALE)
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
