@@ -46,11 +46,7 @@ class Encoder:
     """Token ids of texts by a vocabulary file of the `tokenizers` library."""
 
     def __init__(self, vocabulary: str):
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
-
-        self.exact = Tokenizer.from_file(vocabulary)
-        self.exact.encode_special_tokens = True
+        self.vocabulary, self.held = vocabulary, None
         self.safe = re.compile("[\0-ɏ]*").fullmatch
         self.fast = None
         ranks = Path(vocabulary).with_suffix(".tiktoken")
@@ -63,6 +59,17 @@ class Encoder:
             merges = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.read_bytes().splitlines())}
             self.fast = tiktoken.Encoding(ranks.stem, pat_str=public_tokenizers.PATTERN, mergeable_ranks=merges, special_tokens={})
 
+    @property
+    def exact(self):
+        """The tokenizer, loaded with the first text that needs it."""
+        if self.held is None:
+            os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+            from tokenizers import Tokenizer
+
+            self.held = Tokenizer.from_file(self.vocabulary)
+            self.held.encode_special_tokens = True
+        return self.held
+
     def ids(self, text: str) -> np.ndarray:
         if self.fast is not None and self.safe(text):
             return np.asarray(self.fast.encode_to_numpy(text, disallowed_special=()), np.uint32)
