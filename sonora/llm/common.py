@@ -71,4 +71,4 @@ BROADCAST_ROWS = 500_000
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """df, a written table of narrow rows, marked for broadcast if it has so few rows; else as it is, to be shuffled."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    return F.broadcast(df) if df.count() <= rows else df

@@ -170,7 +170,8 @@ def cleaned(docs: DataFrame) -> DataFrame:
     gone = gone.select(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash"), "gone")
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     match = F.col("row.doc_id").cast("long").eqNullSafe(F.col("gone_id")) & (F.xxhash64("row.text") == F.col("gone_hash"))
-    joined = rows.join(gone, match, "left").select("row.*", F.col("gone").alias("_gone_lines"))
+    spare = "gone" + "_" * max(len(c) for c in docs.columns)  # longer than any column's name
+    joined = rows.join(gone, match, "left").select("row.*", F.col("gone").alias(spare))
     at, chars = docs.columns.index("text"), docs.columns.index("n_chars") if "n_chars" in docs.columns else None
     arrow_text = pa.string()
 

@@ -28,9 +28,10 @@ from sonora.llm.common import written
 
 WEIGHTS = (1, 2, 3)
 MOST = 3
-BUCKETS = 4096
-#: Bits of the random offsets: few enough that offset plus copies is exact.
-OFFSET_BITS = 20
+#: Hexadecimal digits of the hash that name a bucket: 4,096 buckets of a size of a source.
+BUCKET_DIGITS = 3
+#: Hexadecimal digits of the random offsets: few enough that offset plus copies is exact.
+OFFSET_DIGITS = 5
 
 
 def words(text: str = "text") -> Column:
@@ -60,7 +61,8 @@ def source_targets(sizes: DataFrame) -> DataFrame:
 
 
 def _offset(seed: int) -> Column:
-    return F.pmod(F.xxhash64(F.lit(seed), "source_key"), F.lit(1 << OFFSET_BITS)) / F.lit(float(1 << OFFSET_BITS))
+    digits = F.substring(F.md5(F.concat(F.lit(f"{seed}/"), "source_key")), 1, OFFSET_DIGITS)
+    return F.conv(digits, 16, 10).cast("long") / F.lit(float(16**OFFSET_DIGITS))
 
 
 def with_copies(docs: DataFrame, carried: list[str], seed: int = 11) -> DataFrame:
@@ -74,9 +76,9 @@ def with_copies(docs: DataFrame, carried: list[str], seed: int = 11) -> DataFram
         F.col("source"),
         words().alias("size"),
         F.col("doc_id"),
-        F.xxhash64("doc_id", "text").alias("hash"),
+        F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("\n"), F.coalesce("text", F.lit("")))).alias("hash"),
         F.struct(*[F.col(f"`{c}`") for c in carried]).alias("row"),
-    ).withColumn("bucket", F.pmod("hash", F.lit(BUCKETS)).cast("int"))
+    ).withColumn("bucket", F.substring("hash", 1, BUCKET_DIGITS))
     counts = written(rows.groupBy("source_key", "size", "bucket").agg(F.count("*").alias("n"), F.first("source").alias("source")))
     of_size = counts.groupBy("source_key", "size").agg(F.sum("n").alias("n"), F.first("source").alias("source"))
     targets = source_targets(of_size.groupBy("source_key").agg(F.first("source").alias("source"), F.sum(F.col("size") * F.col("n")).alias("source_size")))

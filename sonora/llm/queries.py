@@ -65,7 +65,9 @@ QUERIES = {
 }
 ORACLE_SQL: dict[str, str] = {
     "op1_quality_rules": sql.OP1,
+    "op2_source_mixing": sql.OP2,
     "op4_line_dedup": sql.OP4,
+    "op5_near_duplicates": sql.OP5,
     "op6_chat_windows": sql.OP6,
     "op7_url_filter": sql.OP7,
 }

@@ -92,3 +92,37 @@ select o.doc_id, o.line_no::integer as line_no, case when n.near is not null the
 from o join d on o.ws = d.ws left join n on o.ws = n.ws
 where n.near is not null or [o.doc_id, o.line_no] <> d.place
 """
+
+OP2 = rf"""
+with d as (
+  select doc_id, source, coalesce(len(regexp_extract_all(text, '{_W}')), 0)::bigint as size, md5(coalesce(doc_id::varchar, '') || chr(10) || coalesce(text, '')) as h,
+    case when source is null then '0' else '1' || source end as source_key from documents),
+s as (select source_key, sum(size)::bigint as source_size, ((row_number() over (order by any_value(source) nulls last) - 1) % 3 + 1)::double as weight from d group by source_key),
+r as (
+  select *, (3 * source_size)::double as cap, row_number() over o as pos,
+    (sum(source_size) over () - coalesce(sum((3 * source_size)::double) over (o rows between unbounded preceding and 1 preceding), 0))
+    / (sum(weight) over () - coalesce(sum(weight) over (o rows between unbounded preceding and 1 preceding), 0)) as level
+  from s window o as (order by (3 * source_size)::double / weight, source_key)),
+f as (select min(pos) as pos, min_by(level, pos) as level from r where cap > level * weight),
+t as (select r.source_key, source_size, case when f.pos is null or r.pos < f.pos then cap else f.level * weight end as target from r cross join f),
+k as (
+  select d.*, source_size, target, row_number() over (partition by d.source_key order by size, substr(h, 1, 3), doc_id nulls first, h) as rank,
+    case when source_size > 0 then target / source_size else 0 end as rate, ('0x' || substr(md5('11/' || d.source_key), 1, 5))::bigint / 1048576::double as u
+  from d join t using (source_key)),
+c as (select *, (floor(u + rate * rank) - floor(u + rate * (rank - 1)))::int as copies from k)
+select doc_id, size, source_size, target, size * copies as taken, copies from c
+"""
+
+OP5 = rf"""
+with recursive w as materialized (
+  select row_number() over () as r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_W}') as ws from documents),
+sh as materialized (
+  select distinct r, unnest(case when len(ws) >= 3 then [ws[i] || chr(0) || ws[i + 1] || chr(0) || ws[i + 2] for i in range(1, len(ws) - 1)] when len(ws) > 0 then [array_to_string(ws, chr(0))] else [] end) as g
+  from w),
+n as materialized (select r, count(*) as n from sh group by r),
+m as materialized (select a.r as a, b.r as b, count(*) as c from sh a join sh b on a.g = b.g and a.r <> b.r group by 1, 2),
+e as materialized (select a, b from m join n x on x.r = a join n y on y.r = b where 100 * c >= 85 * (x.n + y.n - c)),
+reach(r, o) as (select r, r from w union select reach.r, e.b from reach join e on e.a = reach.o)
+select w.doc_id, coalesce(any_value(n.n), 0)::bigint as n_shingles, min(v.doc_id) as component_id, w.doc_id = min(v.doc_id) as kept
+from w join reach using (r) join w v on v.r = reach.o left join n on n.r = w.r group by w.r, w.doc_id
+"""
