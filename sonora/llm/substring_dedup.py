@@ -116,27 +116,51 @@ def units(text: str | None) -> tuple[np.ndarray, ...]:
 
 
 def _emit(batch: list[tuple]) -> Iterable[tuple]:
+    """The first occurrence of each unit in a document; others, which go in any case, joined to spans without a digest."""
     for doc_id, text_hash, text in batch:
-        for h, l, s, e in zip(*(x.tolist() for x in units(text)), strict=True):
-            yield doc_id, text_hash, h, l, s, e
+        found = sorted(zip(*(x.tolist() for x in units(text)), strict=True), key=lambda u: u[2:])
+        seen: dict[tuple[int, int], int] = {}
+        begin = end = first = -1
+        n = 0
+        for high, low, start, stop in found:
+            earlier = seen.setdefault((high, low), start)
+            if earlier == start:
+                yield doc_id, text_hash, high, low, start, stop, None, 1
+                continue
+            if start > end:
+                if n:
+                    yield doc_id, text_hash, None, None, begin, end, first, n
+                begin, end, first, n = start, stop, earlier, 0
+            end, n = max(end, stop), n + 1
+        if n:
+            yield doc_id, text_hash, None, None, begin, end, first, n
 
 
 def repeated(docs: DataFrame) -> DataFrame:
     """doc_id, text_hash, start, end, n_units, first_doc_id and first_start of every span to remove.
 
-    first_doc_id and first_start are where the earliest occurrence of the span's first unit begins.
+    first_doc_id and first_start are where an earlier occurrence of the span's first unit begins: the
+    earliest of all, or the document's own first one.
     """
     source = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), "text")
-    found = written(map_rows(source, _emit, "doc_id long, text_hash long, high long, low int, start int, end int"))
+    schema = "doc_id long, text_hash long, high long, low int, start int, end int, first_start int, n int"
+    found = written(map_rows(source, _emit, schema))
+    heads = found.filter("high is not null").select("doc_id", "text_hash", "high", "low", "start", "end")
+    # Half of the digest tells which units can repeat at all; only these are grouped by the whole.
+    several = heads.groupBy("high").agg(F.count("*").alias("several")).filter("several > 1").select("high")
+    met = written(heads.join(several, "high", "left_semi"))
     rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "start")
-    firsts = found.groupBy("high", "low").agg(F.min(rank).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    again = found.join(firsts, ["high", "low"]).filter(rank != F.col("first")).select("doc_id", "text_hash", "start", "end", "first").distinct()
+    firsts = met.groupBy("high", "low").agg(F.min(rank).alias("first"), F.count("*").alias("several")).filter("several > 1").drop("several")
+    columns = ("doc_id", "text_hash", "start", "end", "first", "n")
+    again = met.join(firsts, ["high", "low"]).filter(rank != F.col("first")).withColumn("n", F.lit(1)).select(*columns)
+    own = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col("first_start").alias("start"))
+    again = again.union(found.filter("high is null").withColumn("first", own).select(*columns)).distinct()
     order = W.partitionBy("doc_id", "text_hash").orderBy("start", "end", "first")
     before = F.max("end").over(order.rowsBetween(W.unboundedPreceding, -1))
     again = again.withColumn("new", F.when(F.col("start") <= before, 0).otherwise(1))
     again = again.withColumn("span", F.sum("new").over(order.rowsBetween(W.unboundedPreceding, 0)))
     spans = again.groupBy("doc_id", "text_hash", "span").agg(
-        F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("n_units"), F.min(F.struct("start", "end", "first")).alias("at")
+        F.min("start").alias("start"), F.max("end").alias("end"), F.sum("n").alias("n_units"), F.min(F.struct("start", "end", "first")).alias("at")
     )
     return spans.select("doc_id", "text_hash", "start", "end", "n_units", F.col("at.first.doc_id").alias("first_doc_id"), F.col("at.first.start").alias("first_start"))
 
