@@ -22,7 +22,8 @@ class Analyzer:
     """Clips (utt_id, samples, sample_rate, optionally language) at 16 kHz to results.
 
     transcriber and detector are provider factories, see sonora.providers. policy: a condition of the
-    `policies` table, "auto" (by the clip's noise), or None. A call's policy, if given, goes before.
+    `policies` table, "auto" (by the clip's noise), or None. A call's policy, if given, goes before. A result's
+    `performance` says what ran; times are those of the job, not of a clip (transcripts.performance() adds known ones).
     """
 
     def __init__(
@@ -35,9 +36,13 @@ class Analyzer:
         policies: DataFrame | None = None,
         policy: str | None = None,
         model: str = "",
+        device: str = "auto",
+        compute: str = "auto",
+        cuda_devices: int = 0,
     ):
         self.transcriber, self.detector, self.vad, self.denoiser, self.denoise = transcriber, detector, vad, denoiser, denoise
         self.policies, self.policy, self.model = policies, policy, model
+        self.device, self.compute = providers.resolved_device(device, compute, cuda_devices)
 
     def _languages(self, clips: DataFrame, spans: DataFrame) -> DataFrame:
         """Forced languages and votes, each for its own clips: no vote is taken where the language is given."""
@@ -110,6 +115,7 @@ class Analyzer:
             F.struct(F.round("duration_s", 2).alias("duration_s"), "sample_rate", F.round("speech_ratio", 3).alias("speech_ratio"), F.lit(backend).alias("vad_backend"), F.coalesce("speech_segments", F.array().cast("array<struct<start:double,end:double>>")).alias("speech_segments")).alias("audio"),
             F.col("result").alias("language"),
             F.struct(F.coalesce("text", F.lit("")).alias("text"), "segments", flagged.alias("flagged_segments")).alias("transcript"),
+            F.struct(F.lit(self.model).alias("model"), F.lit(self.device).alias("device"), F.lit(self.compute).alias("compute_type")).alias("performance"),
             warned.alias("warnings"),
             reliability.alias("reliability"),
         )

@@ -161,10 +161,11 @@ def coverage_matrix(scored: DataFrame, by: list[str], targets: tuple[float, ...]
     return points.groupBy(*by).agg(*columns)
 
 
-def transfer(scored: DataFrame, policies: DataFrame, by: list[str]) -> DataFrame:
+def transfer(scored: DataFrame, policies: DataFrame, by: list[str], own_fit: bool = False) -> DataFrame:
     """What policies deliver on other pairs: risk, coverage, calibration error and a verdict.
 
     holds: the delivered risk is at most 1.5 times the target. delivered is null where nothing is accepted.
+    own_fit adds the AUROC of the raw scores, and as a bound the error of calibrators fitted on these pairs.
     """
     facts = policies.select(*by, "knots", "threshold", "target_risk")
     pairs = scored.join(F.broadcast(facts), by).withColumn("score", predict(F.col("score"), F.col("knots"))).drop("knots")
@@ -175,4 +176,8 @@ def transfer(scored: DataFrame, policies: DataFrame, by: list[str]) -> DataFrame
     out = out.withColumn("delivered", F.col("errors") / F.when(F.col("accepted") > 0, F.col("accepted"))).withColumn("coverage", F.col("accepted") / F.col("n"))
     verdict = F.when(F.col("accepted") == 0, "accepts nothing").when(F.col("delivered") <= F.col("target_risk") * 1.5, "holds").otherwise("BREAKS")
     moved = metrics.ece(pairs.drop("threshold", "target_risk"), by).withColumnRenamed("ece", "ece_transferred")
-    return out.withColumn("verdict", verdict).drop("n", "errors").join(moved, by)
+    out = out.withColumn("verdict", verdict).drop("n", "errors").join(moved, by)
+    if own_fit:
+        own = metrics.ece(calibrated(scored, fit(scored, by), by), by).withColumnRenamed("ece", "ece_own")
+        out = out.join(own, by).join(metrics.auroc(scored, by), by)
+    return out

@@ -76,6 +76,10 @@ def policy_transfer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.rounded(C.transfer(_by_policy(spark, sf_dir), B.policies(spark), BY))
 
 
+def policy_transfer_own_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return B.rounded(C.transfer(_by_policy(spark, sf_dir), B.policies(spark), BY, own_fit=True))
+
+
 QUERIES = {
     "auroc_by_lang": _metric(M.auroc),
     "auc_nt_by_lang": _metric(M.auc_nt),
@@ -94,6 +98,7 @@ QUERIES = {
     "held_out_report": held_out_report,
     "policy_apply": policy_apply,
     "policy_transfer": policy_transfer,
+    "policy_transfer_own_fit": policy_transfer_own_fit,
 }
 
 _AUROC = """ro as (select condition, correct, rank() over (partition by condition order by score) + (count(*) over (partition by condition, score) - 1) / 2::double as r from sc),

@@ -94,6 +94,8 @@ def test_policies_split_and_transfer(spark):
     assert by["bad"].threshold == C.ACCEPT_NOTHING and by["bad"].coverage == 0 and by["clean"].realized_risk <= 0.05
     moved = {r.g: r for r in C.transfer(df, policies, BY).collect()}
     assert moved["bad"].verdict == "accepts nothing" and moved["bad"].delivered is None and moved["clean"].verdict == "holds"
+    both = {r.g: r for r in C.transfer(df, policies, BY, own_fit=True).collect()}
+    assert both["clean"].ece_own == pytest.approx(both["clean"].ece_transferred) and both["clean"].auroc == 1 and both["bad"].auroc is None
     halves = C.interleaved(df, BY)
     assert halves.filter("held_out").count() == 51
     assert halves.filter("g = 'clean' and held_out <> (seq % 2 = 1)").count() == 0

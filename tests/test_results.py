@@ -48,6 +48,11 @@ def clips(spark, *rows):
     return spark.createDataFrame([(i, y, RATE, lang) for i, (y, lang) in enumerate(rows)], "utt_id long, samples array<float>, sample_rate int, language string")
 
 
+def test_performance(spark):
+    df = spark.createDataFrame([(2.0, 4.0), (1.0, 0.0)], "e double, d double")
+    assert [(r[0].total_time_s, r[0].rtf) for r in df.select(R.performance(F.col("e"), F.col("d"))).collect()] == [(2.0, 0.5), (1.0, None)]
+
+
 def test_gate(spark):
     df = spark.createDataFrame([(1, 0, 0.0, 1.0, " a ", -0.1, 0.55, None), (1, 1, 1.0, 2.0, "b", -0.2, 0.1, None), (1, 2, 2.0, 3.0, "c", 0.5, 0.0, None)], SEGMENTS)
     got = R.gated(df).orderBy("seg_id").collect()
@@ -109,7 +114,7 @@ def test_sinks(spark, tmp_path):
     results.write_json(found, str(tmp_path / "j"))
     results.write_text(found, str(tmp_path / "t"))
     row = json.loads(spark.read.text(str(tmp_path / "j")).first()[0])
-    assert set(row) == {"utt_id", "audio", "language", "transcript", "warnings", "reliability"} and row["reliability"] is None
+    assert set(row) == {"utt_id", "audio", "language", "transcript", "performance", "warnings", "reliability"} and row["reliability"] is None
     assert spark.read.text(str(tmp_path / "t")).first()[0] == "hello en world quiet"
     pairs = spark.createDataFrame([("clean", "word_prob", 1, 0.5, True)], "condition string, estimator string, seq long, score double, correct boolean")
     results.write_pairs(pairs, str(tmp_path / "s"))
