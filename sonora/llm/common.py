@@ -40,8 +40,12 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame) -> DataFrame:
-    """df as a table in the shared folder: cuts lineage and survives the loss of executors."""
-    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    """df as a table in the shared folder: cuts lineage and survives the loss of executors.
+
+    An application's tables are in a folder of its own, to be removed when it has ended.
+    """
+    context = df.sparkSession.sparkContext
+    path = f"{shared_folder(df.sparkSession)}/{context.applicationId}/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
