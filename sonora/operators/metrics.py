@@ -67,7 +67,9 @@ def bin_of(score: Column, bins: int = 10) -> Column:
 
 def ece(scored: DataFrame, by: list[str], bins: int = 10) -> DataFrame:
     """Expected calibration error; scores outside [0, 1] count in the denominator only."""
-    cells = scored.groupBy(*by, bin_of(F.col("score"), bins).alias("bin")).agg(F.count("*").alias("n"), F.avg("score").alias("confidence"), (1 - F.avg(wrong())).alias("accuracy"))
+    n = F.sum("n")
+    cells = score_counts(scored, by).groupBy(*by, bin_of(F.col("score"), bins).alias("bin"))
+    cells = cells.agg(n.alias("n"), (F.sum(F.col("score") * F.col("n")) / n).alias("confidence"), (1 - F.sum("errors") / n).alias("accuracy"))
     gap = F.when(F.col("bin").isNotNull(), F.col("n") * F.abs(F.col("confidence") - F.col("accuracy"))).otherwise(0.0)
     return cells.groupBy(*by).agg(_ratio(F.sum(gap), F.sum("n")).alias("ece"))
 
@@ -75,7 +77,8 @@ def ece(scored: DataFrame, by: list[str], bins: int = 10) -> DataFrame:
 def nce(scored: DataFrame, by: list[str], eps: float = 1e-15) -> DataFrame:
     """Normalised cross entropy against always saying the base rate; null if that is 0 or 1."""
     p = F.least(F.greatest(F.col("score"), F.lit(eps)), F.lit(1 - eps))
-    sums = scored.groupBy(*by).agg((-F.avg(F.when(F.col("correct"), F.ln(p)).otherwise(F.ln(1 - p)))).alias("model"), (1 - F.avg(wrong())).alias("base"))
+    loss = (F.col("n") - F.col("errors")) * F.ln(p) + F.col("errors") * F.ln(1 - p)
+    sums = score_counts(scored, by).groupBy(*by).agg((-F.sum(loss) / F.sum("n")).alias("model"), (1 - F.sum("errors") / F.sum("n")).alias("base"))
     base = F.col("base")
     prior = -(base * F.ln(base) + (1 - base) * F.ln(1 - base))
     return sums.select(*by, F.when((base > 0) & (base < 1), (prior - F.col("model")) / prior).alias("nce"))
@@ -95,8 +98,13 @@ def aurc(scored: DataFrame, by: list[str]) -> DataFrame:
 
 
 def summary(scored: DataFrame, by: list[str], bins: int = 10) -> DataFrame:
-    """All metrics of each group in a row."""
-    plain = scored.groupBy(*by).agg(F.count("*").alias("n"), (1 - F.avg(wrong())).alias("accuracy"), F.avg("score").alias("mean_score"))
+    """All metrics of each group in a row.
+
+    All but the two that need the order of ties come from one table of counts by distinct score, whose
+    shuffle Spark reuses.
+    """
+    n = F.sum("n")
+    plain = score_counts(scored, by).groupBy(*by).agg(n.alias("n"), (1 - F.sum("errors") / n).alias("accuracy"), (F.sum(F.col("score") * F.col("n")) / n).alias("mean_score"))
     for metric in (auroc(scored, by), auc_nt(scored, by), ece(scored, by, bins), nce(scored, by), aurc(scored, by)):
         plain = plain.join(metric, by)
     return plain
