@@ -18,6 +18,19 @@ from pyspark.sql.pandas.types import to_arrow_schema
 ROWS_AT_ONCE = 128
 
 
+#: Rows of an Arrow batch, which is whole in memory on both sides. Tables may be sorted by length, so that
+#: a batch of Spark's usual 10,000 rows can hold long texts only.
+ARROW_ROWS = 256
+
+
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """df, after seeing to it that its session's Arrow batches have few rows."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= ARROW_ROWS:
+        conf.set(key, str(ARROW_ROWS))
+    return df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -66,7 +79,7 @@ def map_rows(df: DataFrame, rows: Callable[[list[tuple]], Iterable[tuple]], sche
                 columns = list(zip(*out, strict=True)) if out else [[] for _ in arrow]
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
 
-    return df.mapInArrow(run, target)
+    return bounded_batches(df).mapInArrow(run, target)
 
 
 #: Rows of a few numbers that are broadcast at most, some 20 MB.

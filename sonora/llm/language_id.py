@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sonora.llm.common import ROWS_AT_ONCE, map_rows
+from sonora.llm.common import ROWS_AT_ONCE, bounded_batches, map_rows
 
 UNKNOWN = "und"
 BUCKET_BITS = 15
@@ -189,4 +189,4 @@ def accepted(docs: DataFrame, model: Model) -> DataFrame:
                 part = batch.slice(k, ROWS_AT_ONCE)
                 yield part.filter(pa.array([model.accepts(t) for t in part.column(at).to_pylist()], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return bounded_batches(docs).mapInArrow(run, docs.schema)

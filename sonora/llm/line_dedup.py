@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sonora.llm.common import ROWS_AT_ONCE, map_rows, small, written
+from sonora.llm.common import ROWS_AT_ONCE, bounded_batches, map_rows, small, written
 
 #: Shorter lines are compared for equality only: one word is too much of them.
 MIN_WORDS = 8
@@ -194,7 +194,7 @@ def cleaned(docs: DataFrame) -> DataFrame:
                     columns[chars] = pa.array([len(t) if t is not None and g else n for t, g, n in zip(texts, part.column(part.num_columns - 1).to_pylist(), own.to_pylist(), strict=True)], own.type)
                 yield pa.RecordBatch.from_arrays(columns, names=part.schema.names[:-1]).filter(pa.array(keep, pa.bool_()))
 
-    return joined.mapInArrow(run, docs.schema)
+    return bounded_batches(joined).mapInArrow(run, docs.schema)
 
 
 def report(docs: DataFrame) -> DataFrame:

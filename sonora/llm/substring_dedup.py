@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from sonora.llm.common import ROWS_AT_ONCE, map_rows, written
+from sonora.llm.common import ROWS_AT_ONCE, bounded_batches, map_rows, written
 
 #: Words of a unit, and neighbouring words of which one is an anchor: together 51, the least of "over 50".
 UNIT, WINDOW = 39, 12
@@ -191,4 +191,4 @@ def cleaned(docs: DataFrame) -> DataFrame:
                 columns[at] = pa.array(texts, pa.string())
                 yield pa.RecordBatch.from_arrays(columns, names=part.schema.names)
 
-    return joined.mapInArrow(run, joined.schema)
+    return bounded_batches(joined).mapInArrow(run, joined.schema)
