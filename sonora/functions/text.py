@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -39,15 +40,22 @@ def tokens(normal: Column) -> Column:
     return F.when(normal == "", F.array().cast("array<string>")).otherwise(F.split(normal, " "))
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with the value evaluated once: inside lambdas Spark evaluates outer expressions for every element."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def token_distance(a: Column, b: Column) -> Column:
     """Unit-cost edit distance of two token arrays, by the built-in function on one code point a token."""
-    known = F.array_distinct(F.concat(a, b))
 
-    def coded(own: Column) -> Column:
+    def coded(own: Column, known: Column) -> Column:
         point = lambda t: F.decode(F.unhex(F.lpad(F.hex(F.array_position(known, t) + F.lit(0x10000)), 8, "0")), "UTF-32")
         return F.array_join(F.transform(own, point), "")
 
-    return F.levenshtein(coded(a), coded(b))
+    def distance(pair: Column) -> Column:
+        return bound(F.array_distinct(F.concat(pair.a, pair.b)), lambda known: F.levenshtein(coded(pair.a, known), coded(pair.b, known)))
+
+    return bound(F.struct(a.alias("a"), b.alias("b")), distance)
 
 
 def _rate(distance: Column, n_ref: Column, n_hyp: Column) -> Column:
@@ -57,8 +65,8 @@ def _rate(distance: Column, n_ref: Column, n_hyp: Column) -> Column:
 
 def wer(ref: Column, hyp: Column) -> Column:
     """Word error rate of normalised texts; against an empty reference 0 for an empty hypothesis, else 1."""
-    a, b = tokens(ref), tokens(hyp)
-    return _rate(token_distance(a, b), F.size(a), F.size(b))
+    pair = F.struct(tokens(ref).alias("a"), tokens(hyp).alias("b"))
+    return bound(pair, lambda p: _rate(token_distance(p.a, p.b), F.size(p.a), F.size(p.b)))
 
 
 def cer(ref: Column, hyp: Column) -> Column:
