@@ -79,3 +79,31 @@ def test_cleaned_and_edges(spark):
     assert out[2].text.startswith("zwei é ") and out[2].text.endswith("\nAnd more") and len(out[2].text) < 400
     assert S.cleaned(df).columns == [*df.columns, "removed_spans"]
     assert S.report(df.limit(0)).count() == 0 and S.cleaned(df.limit(0)).count() == 0
+
+
+def test_repeated_runs_go_whole(spark):
+    rng = random.Random(5)
+    words = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    passages = [words(n) for n in (51, 52, 55, 60, 61, 75, 130)]
+    rows = [(10 * k + i, " ".join(words(30) + p + words(20))) for k, p in enumerate(passages) for i in range(3)]
+    for k, p in enumerate(passages):  # an earlier document has less of it, from either side; one document has it twice
+        rows += [(-10 * k - 1, " ".join(words(5) + p[6:45] + words(9))), (200 + k, " ".join(words(5) + p + words(9) + p + words(3)))]
+    # a text whose unit also stands earlier in it, in other surroundings
+    rows += [(-100, " ".join(passages[3])), (300, " ".join(words(7) + passages[3][9:55] + words(60) + passages[3] + words(8)))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    sample = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    for docs in (df, sample):
+        spans = {}
+        for r in S.report(docs).collect():
+            spans.setdefault(r.doc_id, []).append((r.start, r.end))
+        rows = sorted((r.doc_id, r.text or "") for r in docs.collect())
+        seen, runs = {}, {}
+        for doc_id, text in rows:  # as brute(), but only A-Z lower-cased
+            found = [(m.group().encode().lower(), m.start(), m.end()) for m in WORD.finditer(text)]
+            for k in range(len(found) - 50):
+                key = tuple(w for w, _, _ in found[k : k + 51])
+                if seen.setdefault(key, (doc_id, k)) != (doc_id, k):
+                    runs.setdefault(doc_id, []).append((found[k][1], found[k + 50][2]))
+        assert len(runs) > 20
+        left = [(doc_id, s, e) for doc_id, own in runs.items() for s, e in own if not any(a <= s and e <= b for a, b in spans.get(doc_id, ()))]
+        assert not left
