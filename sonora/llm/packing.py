@@ -4,12 +4,13 @@ Documents become token ids and an end id; only what is longer than a sequence is
 being the shorter one. Pieces are packed round by round. A round deals the open pieces over partitions,
 packs each by best-fit decreasing, and bounds each partition's bin count from below by dual feasible
 functions. A partition whose count meets its bound is certified: no packing of it needs fewer bins. It
-gives up only the few bins with much room, and a partition with a gap those that could close it; the
-next round deals these pieces over fewer partitions, so that documents move between partitions, and
-packs them again. The rounds end when the count meets the bound of all pieces, or with one partition.
+gives up only the few bins with much room, and a partition with a gap as many as could close it; the
+next round deals these pieces over fewer partitions, or as many as they fill, so that documents move
+between partitions, and packs them again. Once a round saves less than a PROGRESS-th of what is above the
+bound of all pieces, a partition gives up at most RELEASED_BINS bins with much room. The rounds end when
+the count meets that bound, or with one partition.
 
-Partitions have about ITEMS_PER_TASK pieces, dealt without a key, so repeated rows do not gather. What
-a round hands on is at most RELEASED_BINS bins a partition. Null and empty texts are one end id.
+Partitions have about ITEMS_PER_TASK pieces, dealt without a key, so repeated rows do not gather. Null and empty texts are one end id.
 Repeated rows are packed one by one. Whole texts are tokenized; the ids are those of the `tokenizers`
 library (special tokens' strings are ordinary text). For texts whose code points are all below U+0250
 the same vocabulary's rank file gives the same ids, which tests hold against each other, in a quarter
@@ -40,6 +41,7 @@ ITEMS_PER_TASK = 40_000
 #: Each round has this many times fewer partitions than the one before.
 NARROWING = 8
 RELEASED_BINS = 256
+PROGRESS = 8
 
 
 class Encoder:
@@ -145,19 +147,19 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray,
     return bins, np.array(room, np.int64)
 
 
-def released(room: np.ndarray, gap: int, capacity: int) -> np.ndarray:
-    """The emptiest bins: enough room together to save gap + 1 bins, none nearly full."""
-    order = np.argsort(-room, kind="stable")[:RELEASED_BINS]
+def released(room: np.ndarray, gap: int, capacity: int, wide: bool = True) -> np.ndarray:
+    """The emptiest bins: enough room together to save gap + 1 bins; without a gap or if not wide, a few that are not nearly full."""
+    order = np.argsort(-room, kind="stable")
+    least = 0
+    if not (wide and gap > 0):
+        order, least = order[:RELEASED_BINS], capacity // 32
     before = np.cumsum(room[order]) - room[order]
-    chosen = order[(before < capacity * (gap + 1)) & (room[order] > capacity // 32)]
     out = np.zeros(len(room), bool)
-    out[chosen] = len(chosen) > 1 or gap > 0
-    if len(chosen) == 1:
-        out[chosen] = True
+    out[order[(before < capacity * (gap + 1)) & (room[order] > least)]] = True
     return out
 
 
-def pack_partition(lengths: np.ndarray, capacity: int, last: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, int, int]:
+def pack_partition(lengths: np.ndarray, capacity: int, last: bool, wide: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, int, int]:
     """bin, offset and released of each item, the bin count and its bound."""
     bins, room = best_fit_decreasing(lengths, capacity)
     bound = lower_bound(np.bincount(lengths, minlength=capacity + 1), capacity)
@@ -166,11 +168,11 @@ def pack_partition(lengths: np.ndarray, capacity: int, last: bool) -> tuple[np.n
     starts = np.r_[True, bins[order][1:] != bins[order][:-1]]
     offsets = np.empty(len(lengths), np.int64)
     offsets[order] = total - np.maximum.accumulate(np.where(starts, total, 0))
-    out = np.zeros(len(room), bool) if last else released(room, len(room) - bound, capacity)
+    out = np.zeros(len(room), bool) if last else released(room, len(room) - bound, capacity, wide)
     return bins, offsets, out[bins], len(room), bound
 
 
-def _round(items: DataFrame, number: int, parts: int, capacity: int) -> DataFrame:
+def _round(items: DataFrame, number: int, parts: int, capacity: int, wide: bool) -> DataFrame:
     added = [("sequence_id", T.LongType()), ("offset", T.LongType()), ("part_bins", T.LongType()), ("part_bound", T.LongType()), ("open", T.BooleanType())]
     schema = T.StructType([*items.schema.fields, *[T.StructField(n, t) for n, t in added]])
     arrow = to_arrow_schema(schema)
@@ -181,7 +183,7 @@ def _round(items: DataFrame, number: int, parts: int, capacity: int) -> DataFram
         if not table.num_rows:
             return
         lengths = table.column(at).to_numpy().astype(np.int64)
-        bins, offsets, freed, n, bound = pack_partition(lengths, capacity, parts == 1)
+        bins, offsets, freed, n, bound = pack_partition(lengths, capacity, parts == 1, wide)
         first = number << 54 | TaskContext.get().partitionId() << 28
         new = [pa.array(first + bins), pa.array(offsets), pa.array(np.full(len(bins), n)), pa.array(np.full(len(bins), bound)), pa.array(freed)]
         yield from pa.Table.from_arrays([*table.columns, *new], schema=arrow).to_batches(10_000)
@@ -201,18 +203,23 @@ def pack(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     for r in items.groupBy("length").count().collect():
         counts[r[0]] = r[1]
     bound, parts = lower_bound(counts, capacity), max(1, -(-int(counts.sum()) // ITEMS_PER_TASK))
-    done, closed, number = None, 0, 0
+    done, closed, number, above, wide = None, 0, 0, None, True
     while True:
-        packed = written(_round(items, number, parts, capacity))
-        found = {r[0]: r[1] for r in packed.groupBy("open").agg(F.count_distinct("sequence_id")).collect()}
-        closed += found.get(False, 0)
-        enough = parts == 1 or closed + found.get(True, 0) <= bound or not found.get(True)
+        packed = written(_round(items, number, parts, capacity, wide))
+        found = {r[0]: r[1:] for r in packed.groupBy("open").agg(F.count_distinct("sequence_id"), F.count("*")).collect()}
+        closed += found.get(False, (0, 0))[0]
+        again, pieces = found.get(True, (0, 0))
+        enough = parts == 1 or closed + again <= bound or not again
         kept = packed if enough else packed.filter("not open")
         done = kept if done is None else done.unionByName(kept)
         if enough:
             return done.drop("open")
         items = packed.filter("open").drop("sequence_id", "offset", "part_bins", "part_bound", "open")
-        parts, number = max(1, parts // NARROWING), number + 1
+        if above is not None and above - (closed + again - bound) < max(1, above // PROGRESS):
+            wide = False
+        above = closed + again - bound
+        fill = -(-pieces // ITEMS_PER_TASK) if wide else 1
+        parts, number = max(1, parts // NARROWING, min(parts, fill)), number + 1
 
 
 def packed_documents(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY) -> DataFrame:

@@ -117,3 +117,22 @@ def test_rounds_close_gaps():
     lengths = np.array([rng.randint(1, 2048) for _ in range(3000)])
     _, _, free, n, bound = P.pack_partition(lengths, 2048, False)
     assert n <= 1.01 * bound and free.sum() < len(lengths) / 2
+
+
+def test_a_gap_frees_as_much_as_it_needs(spark, monkeypatch):
+    room = np.full(1000, 60)  # each bin is short by little, and 256 of them by too little
+    free = P.released(room, 10, 2048)
+    assert room[free].sum() >= 11 * 2048 and not free.all()
+    assert not P.released(room, 0, 2048).any() and P.released(np.array([2000, 900, 10]), 0, 2048).tolist() == [True, True, False]
+    # uncertified partitions of over RELEASED_BINS bins that best fit fills badly
+    rng = random.Random(4)
+    lengths = [rng.choice((1000, 680, 350, 345, 341, 339)) + rng.randrange(12) for _ in range(4000)]
+    monkeypatch.setattr(P, "ITEMS_PER_TASK", 500)
+    df = spark.createDataFrame([(i, n) for i, n in enumerate(lengths)], "id long, length long")
+    got = P.pack(df).collect()
+    assert sorted(r.id for r in got) == list(range(4000))
+    fill = defaultdict(int)
+    for r in got:
+        fill[r.sequence_id] += r.length
+    assert max(fill.values()) <= 2048
+    assert len(fill) <= len(P.best_fit_decreasing(np.array(lengths), 2048)[1])
