@@ -115,13 +115,24 @@ def log_mel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.rounded(S.log_mel(_clips(spark, sf_dir), BY), 4)
 
 
+#: Voices of the pool for babble at most, and samples of each.
+POOL_VOICES, POOL_SAMPLES = 64, 16_000
+
+
+def _voices(clips: DataFrame) -> list[list[float]]:
+    """The first samples of the clips with the smallest POOL_VOICES hashes of utt_id; other clips' samples stay where they are."""
+    ids = [r.utt_id for r in clips.select("utt_id").orderBy(F.xxhash64("utt_id"), "utt_id").limit(POOL_VOICES).collect()]
+    chosen = clips.filter(F.col("utt_id").isin(ids)).select("utt_id", F.slice("samples", 1, POOL_SAMPLES).alias("samples"))
+    return [r.samples for r in sorted(chosen.collect(), key=lambda r: r.utt_id)]
+
+
 def noise_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The level that each mix reaches, against the level asked for."""
+    """The level that each mix reaches, against the level asked for. Babble is of voices taken from the clips."""
     level = F.element_at(F.array(F.lit(20.0), F.lit(5.0), F.lit(-5.0)), (F.col("utt_id") % 3 + 1).cast("int"))
     clean = _clips(spark, sf_dir).withColumn("snr_db", level)
-    out = None
+    out, voices = None, _voices(clean)
     for kind in S.NOISES:
-        mixed = S.mixed(clean.withColumn("clean", F.col("samples")), kind)
+        mixed = S.mixed(clean.withColumn("clean", F.col("samples")), kind, pool=voices if kind == "babble" else None)
         power = lambda a: F.aggregate(a, F.lit(0.0), lambda acc, v: acc + v * v)
         noise = F.zip_with("samples", "clean", lambda x, y: x.cast("double") - y)
         part = mixed.select("utt_id", F.lit(kind).alias("kind"), "snr_db", F.round(F.log10(power(F.col("clean")) / power(noise)) * 10, 2).alias("reached_db"))

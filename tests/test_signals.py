@@ -7,6 +7,7 @@ from sonora.functions import distributions as D
 from sonora.operators import language as L
 from sonora.operators import signal as S
 from sonora.operators import voice as V
+from sonora.plans import signals
 from sonora.sources import audio
 
 RATE = 16000
@@ -178,3 +179,19 @@ def test_audio_files(spark, tmp_path):
     assert row.reference == "the text" and row.meta == {"accent": "scots", "speaker": "?"} and row.duration_s == pytest.approx(1, abs=0.01)
     with pytest.raises(ValueError):
         audio.read_corpus(spark, "other", "x")
+
+
+def test_noise_mix_has_voices_for_babble(spark, monkeypatch):
+    pools, mixed = {}, S.mixed
+
+    def seen(clips, kind, **more):
+        pools[kind] = more.get("pool")
+        return mixed(clips, kind, **more)
+
+    monkeypatch.setattr(S, "mixed", seen)
+    rows = signals.noise_mix(spark, "/root/testdata/sf0.001").collect()
+    assert pools["babble"]
+    own = {tuple(r.samples[: signals.POOL_SAMPLES]) for r in signals._clips(spark, "/root/testdata/sf0.001").collect()}
+    assert 6 <= len(pools["babble"]) <= signals.POOL_VOICES and {tuple(v) for v in pools["babble"]} <= own
+    assert pools == {"white": None, "pink": None, "babble": pools["babble"]}
+    assert {r.kind for r in rows} == set(S.NOISES) and all(r.reached_db == pytest.approx(r.snr_db, abs=0.05) for r in rows)
