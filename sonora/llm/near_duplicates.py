@@ -13,16 +13,27 @@ which grow with the square of the documents, would outnumber the true ones.
 3. In each bucket every node is compared with one hub, the node that shares most buckets. The sketches'
    joint likelihood gives an estimate; pairs far under the threshold go, and the others are verified on
    their whole sets. Verified links are joined to components.
-4. Buckets that still hold several components may hide links. Small ones give all pairs across
-   components. In the others, which may hold a large part of all documents, the nodes' shingles are
-   counted and each node indexed by its rarest ones: a pair over the threshold must share one of
-   them, at positions that leave enough others (prefix and position filter, exact). Only pairs across
-   components are made. They are estimated and verified like the first.
-
+4. Buckets whose nodes, the hub left out, still lie in several components may hide links. There a node x is
+   described by its difference D(x) to the hub h: the shingles that only one of both has. As D(x) and D(y) differ
+   by what x and y differ by, x and y link if D(x) and D(y) share at least
+   |h| - |x & h| - |y & h| + (the least intersection of linked sets of their sizes) shingles. That is 1 or more unless
+   both link with the hub. So each node lists D in one order, the shingles rarest in the bucket's nodes first, and a
+   linked pair shares one early enough in both lists to leave the others behind it (prefix filter). What near copies, or
+   pages of one template, have in common is in no D, or comes last. The node nearer to the hub indexes, the other
+   one probes; how near the index is, in blocks, is part of the join's key, so that a list's early part is as short as
+   the partner allows. Only pairs across components are made. They are estimated and verified like the first.
+
+Pages of a template that each fill its gaps with text of their own meet nowhere (tested: joined rows follow the pages).
+What is left of a square is for pages under the threshold that share many of the shingles that only a few of them have.
 No step lists all pairs of a bucket or gathers a bucket in one task. What links is decided on full sets
-only. Texts without words have no links. Null ids give way to others as a component's id; a component
-of null ids only has a null id. Repeated rows have equal sets and one component. Texts may be of any
-length; one text's shingles are held at once.
+only, but not all pairs come so far: one at the threshold shares no band with a probability under 1e-8, and its
+estimate falls MARGIN under its similarity with one under 2e-7 (Chernoff's bound for 256 registers); step 4 loses none.
+
+Null and empty texts and those without words have no links and are components of their own. Null ids give way to
+others as a component's id; a component of null ids only has a null id. Repeated rows have equal sets and one
+component. Ties of hubs go to the larger node number, those of ids do not matter. Empty tables give no rows. Other
+columns of docs are not read and may have any names, those used here included. Texts may be of any length; one
+text's shingles are held at once.
 """
 
 from __future__ import annotations
@@ -41,8 +52,8 @@ from sonora.llm.common import map_rows, small, written
 from sonora.llm.components import connected
 
 REGISTERS, BASE, RATE, TOP = 256, 1.001, 20.0, 65535
-#: Buckets of more nodes go the way of the prefix filter.
-ENUMERATED = 24
+#: How wide blocks of nearness to a hub are, in shares of its shingles.
+BLOCK = 0.005
 #: A pair is not verified if its estimate is this far under the threshold (over six standard deviations).
 MARGIN = 0.15
 
@@ -214,38 +225,66 @@ def _verified(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, rule: Rule) -
     return map_rows(both.select("a", "b", "a_shingles", "b_shingles"), certain, "a long, b long")
 
 
-def _across_small(buckets: DataFrame) -> DataFrame:
-    """All pairs across components in buckets of few nodes."""
-    small = buckets.filter(F.col("n") <= ENUMERATED)
-    left = small.select("bucket", F.col("node").alias("a"), F.col("root").alias("a_root"))
-    right = small.select("bucket", F.col("node").alias("b"), F.col("root").alias("b_root"))
-    return left.join(right, "bucket").filter("a_root < b_root").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+def _differences(star: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
+    """(hub, node, root) with n, own (the shingles that only one of node and hub has), near and base.
+
+    near is (100 + percent) * |node & hub| - percent * n, and base (100 + percent) * (|own| - |hub|) + near, so that
+    two nodes can link by a shingle at positions i and j of their lists only if base + near of the other one is at
+    least (100 + percent) * i, and likewise for j.
+    """
+    unit = 100 + rule.percent
+
+    def rows(batch: list[tuple]) -> Iterable[tuple]:
+        for hub, node, root, left, right in batch:
+            x, h = np.frombuffer(left, np.uint64), np.frombuffer(right, np.uint64)
+            own = np.setxor1d(x, h, assume_unique=True)
+            near = unit * ((len(x) + len(h) - len(own)) // 2) - rule.percent * len(x)
+            yield hub, node, root, len(x), own.view(np.int64).tolist(), near, unit * (len(own) - len(h)) + near, len(h)
+
+    both = star.join(sets.withColumnRenamed("shingles", "x"), "node").join(sets.select(F.col("node").alias("hub"), F.col("shingles").alias("h")), "hub")
+    return map_rows(both.select("hub", "node", "root", "x", "h"), rows, "hub long, node long, root long, n long, own array<long>, near long, base long, n_hub long")
+
 
+def _prefixes(found: DataFrame, rule: Rule) -> DataFrame:
+    """hub, shingle, node, root, n, near, room and block of the early part of each list: a partner's near and room together are 0 or more.
 
-def _across_large(buckets: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
-    """The pairs across components, in buckets of many nodes, that pass the prefix and position filter."""
-    wanted = buckets.filter(F.col("n") > ENUMERATED).select("node", "root").distinct()
-    listed = map_rows(
-        wanted.join(sets, "node").select("node", "root", "shingles"),
-        lambda batch: ((k, r, len(raw) // 8, s) for k, r, raw in batch for s in np.frombuffer(raw, np.int64).tolist()),
-        "node long, root long, n_shingles long, shingle long",
+    Shingles that only nodes of one component list make no pairs; they come first in a node's order.
+    """
+    listed = found.select("hub", "node", "root", F.explode("own").alias("shingle"))
+    counts = listed.groupBy("hub", "shingle").agg(F.count("*").alias("several"), F.min("root").alias("least"), F.max("root").alias("most"))
+    met = written(listed.drop("root").join(counts.filter("least < most").select("hub", "shingle", "several"), ["hub", "shingle"]))
+    own = W.partitionBy("hub", "node")
+    ranked = met.withColumn("later", F.count("*").over(own) - F.row_number().over(own.orderBy("several", "shingle")))
+    nearest = found.groupBy("hub").agg(F.max("near").alias("nearest"))
+    facts = found.select("hub", "node", "root", "n", "near", "base", "n_hub", F.size("own").alias("d")).join(nearest, "hub")
+    at = F.col("d") - 1 - F.col("later")
+    room = F.col("base") - at * (100 + rule.percent)
+    block = F.floor(F.col("near") / (F.greatest(F.col("n_hub") * BLOCK, F.lit(1.0)) * (100 + rule.percent)))
+    early = ranked.join(facts, ["hub", "node"]).filter(room + F.col("nearest") >= 0)
+    return early.select("hub", "shingle", "node", "root", "n", "near", room.alias("room"), block.alias("block"))
+
+
+def _meetings(prefixes: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]:
+    """What indexes (a_*) and what probes (b_*), both with hub, shingle and block to be joined by."""
+    facts = ("node", "root", "n", "near", "room")
+    index = prefixes.filter(F.col("room") + F.col("near") >= 0).select("hub", "shingle", "block", *[F.col(c).alias(f"a_{c}") for c in facts])
+    blocks = index.groupBy("hub", "shingle", "block").agg(
+        F.max("a_near").alias("nearest"), F.min("a_n").alias("smallest"), F.max("a_n").alias("largest"), F.min("a_root").alias("least"), F.max("a_root").alias("most")
     )
-    listed = written(listed)
-    counts = listed.groupBy("shingle").agg(F.count("*").alias("n")).filter("n > 1")
-    shared = listed.join(counts, "shingle")  # a node's other shingles are its own and come first in its order
-    own = W.partitionBy("node")
-    first = F.col("n_shingles") - F.count("*").over(own)
-    rare = shared.withColumn("at", first + F.row_number().over(own.orderBy("n", "shingle")) - 1)
-    needed = F.ceil(F.col("n_shingles") * rule.percent / 100)
-    index = written(rare.filter(F.col("at") <= F.col("n_shingles") - needed).select("shingle", "node", "root", "n_shingles", "at"))
-    by_root = index.groupBy("shingle", "root").agg(F.count("*").alias("n"))
-    main = by_root.groupBy("shingle").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count("*").alias("roots")).filter("roots > 1").drop("roots")
-    left = index.join(main, "shingle").filter("root <> main")
-    left = left.select("shingle", *[F.col(c).alias(f"a_{c}") for c in ("node", "root", "n_shingles", "at")])
-    right = index.select("shingle", *[F.col(c).alias(f"b_{c}") for c in ("node", "root", "n_shingles", "at")])
-    shared = F.least(F.col("a_n_shingles") - F.col("a_at"), F.col("b_n_shingles") - F.col("b_at"))
-    enough = shared * 100 >= (F.col("a_n_shingles") + F.col("b_n_shingles") - shared) * rule.percent
-    met = left.join(right, "shingle").filter((F.col("a_root") != F.col("b_root")) & enough)
+    able = (F.col("nearest") >= F.col("near")) & (F.col("room") + F.col("nearest") >= 0)
+    alike = (F.col("largest") * 100 >= F.col("n") * rule.percent) & (F.col("smallest") * rule.percent <= F.col("n") * 100)
+    across = (F.col("least") != F.col("root")) | (F.col("most") != F.col("root"))
+    met = prefixes.drop("block").join(blocks, ["hub", "shingle"]).filter(able & alike & across)
+    return index, met.select("hub", "shingle", "block", *[F.col(c).alias(f"b_{c}") for c in facts])
+
+
+def _across(star: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
+    """The pairs (a, b) of different roots, of nodes with one hub, that may link."""
+    index, probes = _meetings(written(_prefixes(written(_differences(star, sets, rule)), rule)), rule)
+    nearer = (F.col("a_near") > F.col("b_near")) | ((F.col("a_near") == F.col("b_near")) & (F.col("a_node") < F.col("b_node")))
+    enough = (F.col("a_room") + F.col("b_near") >= 0) & (F.col("b_room") + F.col("a_near") >= 0)
+    alike = F.least("a_n", "b_n") * 100 >= F.greatest("a_n", "b_n") * rule.percent
+    met = probes.join(index, ["hub", "shingle", "block"]).filter((F.col("a_root") != F.col("b_root")) & nearer & enough & alike)
     return met.select(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b")).distinct()
 
 
@@ -264,10 +303,12 @@ def _links(docs: DataFrame, nodes: DataFrame, rule: Rule) -> DataFrame:
     wanted = written(nodes.join(weight.select("node"), "node", "left_semi").select("node", "doc_id", "text_hash"))
     sets = written(_whole_sets(docs, wanted, rule))
     first = written(_verified(pairs, nodes, sets, rule))
-    rooted = buckets.join(connected(first), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    roots = connected(first)
+    spokes = buckets.join(hubs, "bucket").filter("node <> hub").select("bucket", "node", "hub")
+    rooted = spokes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     several = rooted.groupBy("bucket").agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least < most").select("bucket")
-    open_ = written(rooted.join(several, "bucket", "left_semi"))
-    rest = written(_across_small(open_).union(_across_large(open_, sets, rule)).distinct().join(pairs, ["a", "b"], "left_anti"))
+    star = written(rooted.join(several, "bucket", "left_semi").select("hub", "node", "root").distinct())
+    rest = written(_across(star, sets, rule).join(pairs, ["a", "b"], "left_anti"))
     return first.union(_verified(rest, nodes, sets, rule))
 
 

@@ -70,9 +70,9 @@ def test_components(spark):
     assert connected(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
-@pytest.mark.parametrize("enumerated", [N.ENUMERATED, 1])
-def test_hot_groups_with_chains_against_brute_force(spark, monkeypatch, enumerated):
-    monkeypatch.setattr(N, "ENUMERATED", enumerated)
+@pytest.mark.parametrize(("block", "rule"), [(N.BLOCK, N.CONTRACT), (0.5, N.CONTRACT), (N.BLOCK, N.DEFAULT)])
+def test_hot_groups_with_chains_against_brute_force(spark, monkeypatch, block, rule):
+    monkeypatch.setattr(N, "BLOCK", block)
     rng = random.Random(4)
     rows, words = [], [f"w{i}" for i in range(5000)]
     base = rng.choices(words, k=120)
@@ -88,8 +88,7 @@ def test_hot_groups_with_chains_against_brute_force(spark, monkeypatch, enumerat
     for i in range(100):
         own = rng.choices(words, k=rng.randrange(1, 60))
         rows += [(2000 + 2 * i, " ".join(own)), (2001 + 2 * i, " ".join(own[:-1] + ["x"]))]
-    check(spark, rows, N.CONTRACT)
-    check(spark, rows, N.DEFAULT)
+    check(spark, rows, rule)
 
 
 def test_whole_table(spark):
@@ -108,3 +107,69 @@ def test_edges(spark):
     assert kept.columns == more.columns
     assert sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1, 2, 3, 4, 4, 6, 7, 8, 9, 11]
     assert N.report(more.limit(0)).count() == 0 and N.deduplicated(more.limit(0)).count() == 0
+
+
+def test_parts_of_one_text_against_brute_force(spark):
+    """Sets within the hub's share nothing outside of it."""
+    rng = random.Random(6)
+    words = [f"w{i}" for i in range(3000)]
+    rows = []
+    for k in range(6):
+        base = rng.choices(words, k=260)
+        for i in range(40):
+            n = rng.randrange(150, 260)
+            at = rng.choice((0, 0, rng.randrange(0, 260 - n + 1)))
+            part = base[at : at + n]
+            for _ in range(rng.choice((0, 0, 1, 3))):
+                part[rng.randrange(len(part))] = rng.choice(words)
+            rows.append((100 * k + i, " ".join(part)))
+    check(spark, rows, N.CONTRACT)
+    check(spark, rows, N.DEFAULT)
+
+
+def template(n):
+    """Pages of one template that fill the same gaps with words of their own: similarities about 0.77, no links."""
+    rows = []
+    for i in range(n):
+        page = [f"t{k}" for k in range(220)]
+        for at in (20, 60, 90, 120, 150, 190, 191):
+            page[at] = f"own{i}_{at}"
+        rows.append((i, " ".join(page)))
+    return rows
+
+
+def test_pages_of_a_template_are_not_paired(spark, monkeypatch):
+    """Twice the pages give about twice the rows of every join."""
+    counts = {}
+    meetings = N._meetings
+
+    def counted(prefixes, rule):
+        index, probes = meetings(prefixes, rule)
+        counts[size] = (prefixes.count(), probes.count(), probes.join(index, ["hub", "shingle", "block"]).count())
+        return index, probes
+
+    monkeypatch.setattr(N, "_meetings", counted)
+    for size in (150, 300):
+        rows = template(size)
+        similar = N.shingles(rows[0][1], 3), N.shingles(rows[1][1], 3)
+        share = len(np.intersect1d(*similar)) / len(np.union1d(*similar))
+        assert 0.75 < share < 0.85
+        df = spark.createDataFrame(rows, "doc_id long, text string")
+        assert {r.doc_id: r.component_id for r in N.report(df).collect()} == {i: i for i in range(size)}
+    assert all(y <= 2.5 * x + 10 for x, y in zip(counts[150], counts[300], strict=True)), counts
+
+
+def test_recall_at_the_threshold(spark):
+    """Of 1,500 pairs just over the threshold, each alone, none is missed."""
+    rng = random.Random(12)
+    rows = []
+    for i in range(1500):
+        own = [f"{i}_{k}" for k in range(200)]
+        copy = list(own)
+        for at in rng.sample(range(2, 197, 3), 5):
+            copy[at] = "x" + copy[at]
+        rows += [(2 * i, " ".join(own)), (2 * i + 1, " ".join(copy))]
+    similar = (198 - 15) / (198 + 15)
+    assert 0.85 <= similar < 0.87
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    assert N.report(df).filter("component_id = doc_id").count() == 1500
