@@ -14,6 +14,7 @@ from sonora.operators import signal as S
 from sonora.operators import transcripts as R
 from sonora.operators import voice as V
 from sonora.schemas import DecodeConfig
+from sonora.storage import written
 
 BY = ["utt_id"]
 
@@ -24,6 +25,9 @@ class Analyzer:
     transcriber and detector are provider factories, see sonora.providers. policy: a condition of the
     `policies` table, "auto" (by the clip's noise), or None. A call's policy, if given, goes before. A result's
     `performance` says what ran; times are those of the job, not of a clip (transcripts.performance() adds known ones).
+
+    What models return (speech spans, votes on languages, segments) is written to the shared folder when analyze() is
+    called, so that each model sees a clip once and all parts of a result go back to the same decode.
     """
 
     def __init__(
@@ -53,7 +57,7 @@ class Analyzer:
         windows = cut.select(*BY, "samples", "sample_rate", F.posexplode(L.windows(F.size("samples"), F.col("sample_rate"), F.col("spans"))).alias("chunk", "w"))
         windows = windows.filter((F.col("w.end") - F.col("w.start")) / F.col("sample_rate") >= L.LEAST_CHUNK_S)
         chunks = windows.select(*BY, F.slice("samples", (F.col("w.start") + 1).cast("int"), (F.col("w.end") - F.col("w.start")).cast("int")).alias("samples"), "sample_rate", "chunk")
-        votes = providers.voted(chunks, self.detector)
+        votes = written(providers.voted(chunks, self.detector))
         found = L.detected(votes, cut.select(*BY, F.coalesce("speech_s", F.lit(0.0)).alias("speech_s")), BY)
         return found.unionByName(L.forced(clips, BY))
 
@@ -66,10 +70,11 @@ class Analyzer:
         if self.denoise:
             clips, missing = S.denoised(clips, self.denoiser)
         spans, backend = providers.speech_spans(clips, self.vad)
+        spans = written(spans)
         durations = clips.select(*BY, (F.size("samples") / F.col("sample_rate")).alias("duration_s"), "language")
         ratio = V.speech_ratio(spans, durations, BY)
         lid = self._languages(clips, spans)
-        segments = R.gated(providers.transcribed(clips.drop("language").join(lid.select(*BY, F.col("code").alias("language")), BY), self.transcriber, cfg), cfg)
+        segments = R.gated(written(providers.transcribed(clips.drop("language").join(lid.select(*BY, F.col("code").alias("language")), BY), self.transcriber, cfg)), cfg)
 
         conditions = clips.select(*BY, F.lit(None if policy in (None, "auto") else policy).cast("string").alias("condition"), F.lit(None).cast("double").alias("snr_db"))
         if policy == "auto":

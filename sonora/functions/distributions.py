@@ -5,14 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from sonora.functions.text import bound
+
 #: exp() of anything lower underflows.
 LOWEST = -700.0
 
 
 def log_softmax(logits: Column) -> Column:
-    top = F.array_max(logits).cast("double")
-    total = F.aggregate(logits, F.lit(0.0), lambda acc, v: acc + F.exp(v.cast("double") - top))
-    return F.transform(logits, lambda v: v.cast("double") - top - F.ln(total))
+    """In time that grows with the length: the maximum and the sum are each evaluated once a row."""
+
+    def shifted(x: Column) -> Column:
+        total = F.aggregate(x.x, F.lit(0.0), lambda acc, v: acc + F.exp(v.cast("double") - x.top))
+        both = F.struct(x.x.alias("x"), x.top.alias("top"), F.ln(total).alias("rest"))
+        return bound(both, lambda y: F.transform(y.x, lambda v: v.cast("double") - y.top - y.rest))
+
+    return bound(F.struct(logits.alias("x"), F.array_max(logits).cast("double").alias("top")), shifted)
 
 
 def shannon_entropy(logprobs: Column) -> Column:

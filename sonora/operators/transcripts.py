@@ -100,17 +100,19 @@ def assembled(segments: DataFrame, by: list[str], seg: str = "seg_id") -> DataFr
 
 
 def warnings(duration_s: Column, speech_ratio: Column, lid_low: Column, forced: Column, n_segments: Column, flagged: Column, snr_missing: Column, words_missing: Column, denoise_missing: Column) -> Column:
-    """The warnings that apply to an utterance, in order of the stages; null conditions do not apply."""
-    percent = F.format_string("%.0f%%", speech_ratio * 100)
-    many = (n_segments > 0) & (flagged / F.greatest(n_segments, F.lit(1)) > MANY_FLAGGED)
+    """Codes of what limits a result, in order of the stages, with a value after `=` where there is one.
+
+    A condition that is null does not apply. cli.NOTES says what the codes mean.
+    """
+    share = flagged / F.greatest(n_segments, F.lit(1))
     cases = [
-        F.when(denoise_missing, F.lit("denoising was asked for but is not available")),
-        F.when((duration_s > 3.0) & (speech_ratio < 0.25), F.concat(F.lit("only "), percent, F.lit(" of the clip is speech"))),
-        F.when(duration_s < 2.0, F.lit("clip under 2 s: language identification is unreliable")),
-        F.when(lid_low & ~forced, F.lit("low confidence in the language")),
-        F.when(many, F.concat(flagged.cast("string"), F.lit("/"), n_segments.cast("string"), F.lit(" segments are of low confidence"))),
-        F.when(snr_missing, F.lit("no noise estimate, so no reliability policy was applied")),
-        F.when(words_missing, F.lit("a reliability policy needs word timestamps")),
+        F.when(denoise_missing, F.lit("denoiser_missing")),
+        F.when((duration_s > 3.0) & (speech_ratio < 0.25), F.format_string("little_speech=%.2f", speech_ratio)),
+        F.when(duration_s < 2.0, F.format_string("short_clip=%.2f", duration_s)),
+        F.when(lid_low & ~forced, F.lit("language_uncertain")),
+        F.when((n_segments > 0) & (share > MANY_FLAGGED), F.format_string("flagged_segments=%d/%d", flagged, n_segments)),
+        F.when(snr_missing, F.lit("noise_unknown")),
+        F.when(words_missing, F.lit("words_missing")),
     ]
     return F.array_compact(F.array(*cases))
 

@@ -159,7 +159,7 @@ _NAMES = ", ".join(f"('{c}', '{n}')" for c, n in L.NAMES.items())
 def _report() -> str:
     from sonora.plans import scoring as S
 
-    return f"""{_REPORT}, {S._AUROC}, {S._NT}, {S._ece()}, {S._NCE}, {S._CURVE}, ar as (select condition, avg(risk) as aurc from rc group by 1)
+    return f"""{_REPORT}, {S._auroc()}, {S._NT}, {S._ece()}, {S._nce()}, {S._CURVE}, ar as (select condition, avg(risk) as aurc from rc group by 1)
       select split_part(condition, '/', 1)::bigint as condition, split_part(condition, '/', 2) as estimator, count(*) as n, round(avg(correct::int), 6) as accuracy, round(avg(score), 6) as mean_score,
         round(any_value(auroc), 6) as auroc, round(any_value(auc_nt), 6) as auc_nt, round(any_value(ece), 6) as ece, round(any_value(nce), 6) as nce, round(any_value(aurc), 6) as aurc
       from sc join roc using (condition) join ant using (condition) join ec using (condition) join nc using (condition) join ar using (condition) group by sc.condition"""
@@ -192,13 +192,13 @@ ORACLE_SQL = {
     "transcript_assembly": f"{_GATED} select utt_id, trim(string_agg(trim(text), ' ' order by seg_id)) as text, count(*) as n_segments, count(*) filter (flagged) as flagged_segments from ga group by 1",
     "warnings": f"""{_GATED}, a as (select utt_id as n, count(*) as s, count(*) filter (flagged) as f from ga group by 1),
       w as (select n, list_filter([
-        case when n % 11 = 0 then 'denoising was asked for but is not available' end,
-        case when (n % 9) / 2::double > 3 and (n % 10) / 20::double < 0.25 then 'only ' || ((n % 10) * 5) || '% of the clip is speech' end,
-        case when (n % 9) / 2::double < 2 then 'clip under 2 s: language identification is unreliable' end,
-        case when n % 3 = 0 and not n % 6 = 0 then 'low confidence in the language' end,
-        case when f / s::double > 0.4::double then f || '/' || s || ' segments are of low confidence' end,
-        case when n % 8 = 0 then 'no noise estimate, so no reliability policy was applied' end,
-        case when n % 7 = 0 then 'a reliability policy needs word timestamps' end], lambda x: x is not null) as ws from a)
+        case when n % 11 = 0 then 'denoiser_missing' end,
+        case when (n % 9) / 2::double > 3 and (n % 10) / 20::double < 0.25 then 'little_speech=' || format('{{:.2f}}', (n % 10) / 20::double) end,
+        case when (n % 9) / 2::double < 2 then 'short_clip=' || format('{{:.2f}}', (n % 9) / 2::double) end,
+        case when n % 3 = 0 and not n % 6 = 0 then 'language_uncertain' end,
+        case when f / s::double > 0.4::double then 'flagged_segments=' || f || '/' || s end,
+        case when n % 8 = 0 then 'noise_unknown' end,
+        case when n % 7 = 0 then 'words_missing' end], lambda x: x is not null) as ws from a)
       select n as utt_id, unnest(range(len(ws)))::int as place, unnest(ws) as warning from w""",
     "segment_records": f"""{_GATED} select utt_id, seg_id as id, format('{{:02d}}:{{:05.2f}}', floor("start" / 60)::int, "start" - floor("start" / 60) * 60) as clock, round("start", 2) as "start", round("end", 2) as "end",
       round(avg_logprob, 3) as avg_logprob, round(no_speech_prob, 3) as no_speech_prob, round(confidence, 3) as confidence, flagged, len(ws)::int as n_words from ga""",

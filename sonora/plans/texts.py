@@ -109,6 +109,21 @@ st(id, i, k, v) as (
 lev as (select pr.*, st.v as d, case when len(r) = 0 then (len(h) > 0)::int::double else st.v / len(r)::double end as rate from st join pr using (id) where st.i = len(r) and st.k = len(h))"""
 
 
+#: The path through the matrix of _distance(), from its end: a diagonal step where one is optimal, else a deletion, else an insertion.
+_PATH = """,
+mx as materialized (
+  select s.id, s.i, s.k, rt.token = ht.token as same,
+    case when s.i > 0 and s.k > 0 and s.v = lag(s.v) over (partition by s.id, s.i - s.k order by s.i) + (rt.token <> ht.token)::int then 'diagonal'
+      when s.i > 0 and s.v = lag(s.v) over (partition by s.id, s.k order by s.i) + 1 then 'up' else 'left' end as dir
+  from st s left join rt on rt.id = s.id and rt.i = s.i left join ht on ht.id = s.id and ht.k = s.k),
+wk(id, i, k) as (
+  select id, len(r)::bigint, len(h)::bigint from pr
+  union all select id, i - (dir <> 'left')::int, k - (dir <> 'up')::int from wk join mx using (id, i, k) where i > 0 or k > 0),
+al as (
+  select id, i, k, case dir when 'up' then 'del' when 'left' then 'ins' else case when same then 'eq' else 'sub' end end as op
+  from wk join mx using (id, i, k) where i > 0 or k > 0)"""
+
+
 def _words(text: str) -> str:
     return f"case when {B.normal_sql(text)} = '' then [] else string_split({B.normal_sql(text)}, ' ') end"
 
@@ -118,6 +133,8 @@ def _letters(text: str) -> str:
 
 
 _TURNS = f"select conv_id, turn, conv_id * 1000 + turn as id, {_words('text')} as r, {_words(B.SPOILT)} as h from conversations"
+_EMITTED = f"""select *, flatten(own) as h from (
+  select conv_id, turn, conv_id * 1000 + turn as id, {_words('text')} as r, list_transform(string_split({B.SPOILT}, ' '), lambda e: {_words('e')}) as own from conversations)"""
 _LANG = "(['en', 'ja', 'de', 'yue'])[item_id % 4 + 1]"
 
 ORACLE_SQL = {
@@ -135,6 +152,13 @@ ORACLE_SQL = {
     )
     + " select id as condition, round(rate, 6) as wer from lev",
     "pooled_wer": _distance(_TURNS) + " select conv_id % 6 as condition, sum(d)::bigint as errors, sum(len(r))::bigint as words, round(sum(d) / sum(len(r))::double, 6) as wer from lev group by 1",
+    "alignment_op_counts": _distance(_TURNS) + _PATH + """ select conv_id, turn, count(*) filter (op = 'eq')::int as eq, count(*) filter (op = 'sub')::int as sub,
+      count(*) filter (op = 'del')::int as del, count(*) filter (op = 'ins')::int as ins from pr left join al using (id) group by conv_id, turn""",
+    "word_labels": _distance(_TURNS) + _PATH + " select conv_id, turn, (k - 1)::int as pos, op = 'eq' as correct from al join pr using (id) where op <> 'del'",
+    "emitted_word_labels": _distance(_EMITTED) + _PATH + """,
+      ow as (select id, conv_id, turn, unnest(range(len(own))) as pos, unnest(own) as tokens from pr),
+      sp as (select *, sum(len(tokens)) over (partition by id order by pos) as last from ow)
+      select conv_id, turn, pos::int as pos, (select bool_and(op = 'eq') from al where al.id = sp.id and op <> 'del' and k > last - len(tokens) and k <= last) as correct from sp""",
     "speaker_round_robin": """with a as (
         select doc_id, coalesce(source, '?') as speaker, n_chars / 15::double as s, trim(text) as t, row_number() over (order by doc_id) as seen from documents),
       u as (select doc_id, speaker from a where seen <= 4000 and t <> '' and not contains(t, 'IGNORE_TIME_SEGMENT_IN_SCORING') and len(regexp_extract_all(t, '\\S+')) >= 3 and s >= 2),

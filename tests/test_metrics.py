@@ -108,3 +108,16 @@ def test_policies_split_and_transfer(spark):
     assert report["clean"].ece_raw == pytest.approx(O.ece(held)) and report["clean"].ece_calibrated == pytest.approx(O.ece(after))
     assert report["clean"].nce_calibrated == pytest.approx(O.nce(after)) and report["clean"].auroc == 1
     assert {r.g: r.coverage_500 for r in C.coverage_matrix(df, BY, (0.5,)).collect()}["clean"] == 1
+
+
+def test_log_softmax_of_long_rows(spark):
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from sonora.functions.distributions import log_softmax
+
+    x = F.transform(F.sequence(F.lit(1), F.lit(50_000)), lambda i: F.sin(i + F.col("id") * 7) * 5)
+    df = spark.range(3).select("id", x.alias("x")).select("id", log_softmax(F.col("x")).alias("lp"))
+    for r in df.collect():  # time that grew with the square would be hours
+        y = np.sin(np.arange(1, 50_001) + r.id * 7) * 5
+        assert np.allclose(r.lp, y - np.log(np.exp(y).sum()), atol=1e-9)

@@ -1,4 +1,5 @@
 import json
+import uuid
 
 import numpy as np
 import pytest
@@ -11,7 +12,7 @@ from sonora.operators.calibration import fit_policies
 from sonora.operators.metrics import summary
 from sonora.schemas import SEGMENTS, DecodeConfig
 from sonora.sources import policies as P
-from sonora.sources import results
+from sonora.sources import bundled, results
 from sonora.streaming import scoring
 
 RATE = 16000
@@ -67,14 +68,14 @@ def test_analysis(spark):
     assert a.language.code == "en" and a.language.method == "chunk_vote" and a.audio.vad_backend == "energy" and a.audio.duration_s == 4
     assert a.audio.speech_ratio == pytest.approx(0.5, abs=0.05)
     assert a.transcript.text == "hello en world quiet" and a.transcript.flagged_segments == 2
-    assert any("2/3 segments" in w for w in a.warnings)
+    assert "flagged_segments=2/3" in a.warnings
     first = a.transcript.segments[0]
     assert [w.accept for w in first.words] == [True, False] and first.words[0].prob == 0.98 and first.end == 1.0
     assert (a.reliability.words, a.reliability.accepted, a.reliability.coverage, a.reliability.selected_by) == (3, 2, 0.667, "explicit")
     assert out[1].language.method == "forced" and out[1].transcript.text.startswith("hello de") and out[1].language.probability == 1
-    assert out[2].language.probability == 0 and any("under 2 s" in w for w in out[2].warnings) and any("low confidence in the language" in w for w in out[2].warnings)
+    assert out[2].language.probability == 0 and out[2].warnings[:2] == ["short_clip=0.10", "language_uncertain"]
     text = cli.report(lens.analyze(clips(spark, (clip(), None)), DecodeConfig(word_timestamps=True), "clean")).first().report
-    assert "English (en)" in text and "[!]" in text and "2/3 words accepted" in text and "bad(" in text
+    assert text.startswith("# English, 0.") and "\t?\tquiet" in text and "2 of 3 words pass the policy clean (explicit)" in text and "good {bad}" in text and "note: 2/3 segments are doubtful" in text
 
 
 def test_policies_of_calls(spark):
@@ -84,15 +85,45 @@ def test_policies_of_calls(spark):
     plain = lens.analyze(one).first()
     assert plain.reliability is None and plain.transcript.segments[0].words is None
     missing = lens.analyze(one, policy="clean").first()
-    assert missing.reliability is None and any("needs word timestamps" in w for w in missing.warnings)
+    assert missing.reliability is None and "words_missing" in missing.warnings
     auto = lens.analyze(one, DecodeConfig(word_timestamps=True), "auto").first()
     assert auto.reliability.condition == "clean" and auto.reliability.selected_by.startswith("auto (SNR ")
     silent = lens.analyze(clips(spark, ([0.0] * RATE * 3, None)), DecodeConfig(word_timestamps=True), "auto").first()
-    assert silent.reliability is None and any("no noise estimate" in w for w in silent.warnings)
+    assert silent.reliability is None and "noise_unknown" in silent.warnings
     held = Analyzer(transcriber, detector, policies=known, policy="0").analyze(one, DecodeConfig(word_timestamps=True)).first()
     assert held.reliability.accepted == 0 and held.reliability.threshold == 1.1
     loud = Analyzer(transcriber, detector, denoise=True).analyze(one).first()
-    assert any("denoising" in w for w in loud.warnings)
+    assert "denoiser_missing" in loud.warnings
+
+
+def test_models_see_a_clip_once(spark, tmp_path):
+    def counted(name):
+        with open(tmp_path / f"{name}{uuid.uuid4().hex}", "w"):
+            pass
+
+    def heard(cfg):
+        run = transcriber(cfg)
+        return lambda samples, rate, language: (counted("t"), list(run(samples, rate, language)))[1]
+
+    def voted():
+        run = detector()
+        return lambda samples, rate, chunk: (counted(f"d{chunk}-"), run(samples, rate, chunk))[1]
+
+    lens = Analyzer(heard, voted, policies=policies(spark))
+    found = lens.analyze(clips(spark, (clip(), None), (clip(), None)), DecodeConfig(word_timestamps=True), "auto")
+    assert found.count() == 2 and len(found.collect()) == 2
+    assert len(list(tmp_path.glob("t*"))) == 2
+    chunks = [p.name.split("-")[0] for p in tmp_path.glob("d*")]
+    assert chunks and all(chunks.count(c) <= 2 for c in chunks)
+
+
+def test_bundled_policies(spark):
+    rows = bundled.policies(spark).orderBy("condition").collect()
+    assert [r.condition for r in rows] == ["-5", "0", "10", "20", "5", "clean"]
+    for r in rows:
+        xs, ys = [k.x for k in r.knots], [k.y for k in r.knots]
+        assert xs == sorted(xs) and 0 <= min(ys) and max(ys) <= 1 and r.target_risk == 0.02 and r.n_fit > 1000
+        assert (r.coverage == 0) == (r.threshold == 1.1)
 
 
 def test_policy_documents(spark, tmp_path):
