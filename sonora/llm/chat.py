@@ -10,7 +10,9 @@ Inside texts and roles the backslash, `</turn>` and `###` are written as `\b`, `
 `:` as `\c`; as those letters follow a backslash nowhere else, reading replaces them back in any text.
 
 Null texts and roles are empty. Turns are ordered by turn, role and text, null turns first; rows that
-repeat are turns of their own. A null conv_id is a conversation like any other. A turn is never
+repeat are turns of their own, and ties in all three are equal in what is written. A null conv_id is a conversation
+like any other. Empty tables give no windows. Only conv_id, turn, role and text are read, so other columns may have any names.
+Texts may be of any length: a span is whole in memory. A turn is never
 cut: it may reach over its span's budget by any length, and what is repeated does not count. A span is collected into one row, a conversation only where the
 query digests it.
 """

@@ -7,7 +7,10 @@ sample of labelled rows whose size is a parameter. A fifth of the sample sets a
 calibrates the scores, and the score under which a prediction is rejected.
 
 Only text is an input of a prediction. Null texts and texts without a letter are `und` with score 0,
-and always rejected; so is everything when no row is labelled. Texts are read whole, in slices.
+and always rejected; so is everything when no row is labelled. Texts are read whole, in slices. Ties go to the
+language that comes first by code point. Null ids are not held out and are never in the sample. Repeated rows get equal
+predictions; in the sample they count as often as they occur. Empty tables give no rows. Of other columns only
+doc_id, lang (when fitting) and text are read; accepted() passes all columns on, whatever their names.
 """
 
 from __future__ import annotations

@@ -16,7 +16,8 @@ out) comes earlier. Earlier means a smaller (doc_id, line number), null ids last
 
 Lines without words are kept. Null texts have no lines and stay null. Rows that repeat an id have their
 places in common, so lines that they share at the same place stay in each. A document that loses all
-its lines with words is dropped by cleaned(). One document's lines are held at once.
+its lines with words is dropped by cleaned(). One document's lines are held at once, whatever its length. Empty tables
+give no rows. cleaned() carries all columns in a struct, so that they may have any names.
 """
 
 from __future__ import annotations

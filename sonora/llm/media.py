@@ -8,7 +8,12 @@ and the next packet is marked as a random-access point with a clock reference.
 Reading checks the sync bytes, the tables' checksums, the continuity counters and the elementary
 packets' lengths, and gives the payload with its timestamps and random-access points.
 
-Null payloads count as empty. An empty payload is a stream of tables without elementary packets.
+A packet that comes twice with the same counter and payload, as the standard allows, counts once.
+
+Null and empty texts and payloads are streams of tables without elementary packets. A stream that is damaged, null or
+empty gives a row with an error. Texts of any length are stored whole; one text and its stream are held at once. Rows
+are independent, so repeated rows, equal ids and ties give equal rows, and null ids stay null. Empty tables give no
+rows. Only doc_id and text are read, so other columns may have any names.
 """
 
 from __future__ import annotations
@@ -24,6 +29,8 @@ from sonora.llm.common import map_rows
 
 PACKET, SYNC = 188, 0x47
 PAT_PID, PMT_PID, STREAM_PID = 0x0000, 0x1000, 0x0100
+#: Packets that only fill; their counters mean nothing.
+NO_PID = 0x1FFF
 PROGRAM, PRIVATE_STREAM, PRIVATE_DATA = 1, 0xBD, 0x06
 #: Payload bytes of an elementary packet, its duration in ticks of 90 kHz, and packets from one random-access point to the next.
 UNIT_BYTES, UNIT_TICKS, UNITS_PER_ACCESS = 16384, 3000, 4
@@ -179,11 +186,15 @@ def decode(data: bytes) -> Stream:
         raise ValueError("an adaptation field is too long")
     starts = np.arange(len(grid)) * PACKET + 4 + field
     pid = _tables(data, starts, pids, begins)
-    lost = 0
-    for own in np.unique(pids):
-        seen = counters[(pids == own) & (control & 1 > 0)].astype(np.int16)
-        lost += int(((np.diff(seen) - 1) % 16 != 0).sum())
-    mine = np.flatnonzero((pids == pid) & (control & 1 > 0))
+    lost, full = 0, control & 1 > 0
+    for own in np.unique(pids[pids != NO_PID]):
+        at = np.flatnonzero((pids == own) & full)
+        seen = counters[at].astype(np.int16)
+        again = np.flatnonzero(np.diff(seen) == 0)
+        twice = [k + 1 for k in again if data[starts[at[k]] : (at[k] + 1) * PACKET] == data[starts[at[k + 1]] : (at[k + 1] + 1) * PACKET]]
+        full[at[twice]] = False
+        lost += int(((np.diff(np.delete(seen, twice)) - 1) % 16 != 0).sum())
+    mine = np.flatnonzero((pids == pid) & full)
     flags = np.where((control[mine] & 2 > 0) & (field[mine] > 1), grid[mine, 5], 0)
     heads = np.flatnonzero(begins[mine])
     if len(mine) and (not len(heads) or heads[0]):
@@ -204,6 +215,8 @@ def decode(data: bytes) -> Stream:
                 last = e + 1
             parts.append(grid[own[last:], 4:].tobytes())
             pes = b"".join(parts)
+        if len(pes) < 14:
+            raise ValueError("an elementary packet is too short")
         code, length, _, marks, header = struct.unpack(">IHBBB", pes[:9])
         if code != 0x100 | PRIVATE_STREAM or length != len(pes) - 6 or not marks & 0x80:
             raise ValueError("an elementary packet is damaged")
@@ -233,8 +246,12 @@ def _written(rows: list[tuple]) -> list[tuple]:
 def _read(rows: list[tuple]) -> list[tuple]:
     out = []
     for i, n, media in rows:
-        s = decode(media)
-        out.append((i, n, media, s.payload, s.timestamps, [{"packet": k, "pts": t} for k, t in s.access], s.packets, s.discontinuities))
+        try:
+            s = decode(media or b"")
+        except (ValueError, IndexError, struct.error) as e:
+            out.append((i, n, media, None, None, None, None, None, str(e)))
+        else:
+            out.append((i, n, media, s.payload, s.timestamps, [{"packet": k, "pts": t} for k, t in s.access], s.packets, s.discontinuities, None))
     return out
 
 
@@ -244,15 +261,19 @@ def store(payloads: DataFrame) -> DataFrame:
 
 
 def load(stored: DataFrame) -> DataFrame:
-    """Reads stored streams back: payload, timestamps, random-access points, packets, discontinuities."""
-    schema = f"{_KEEP}, media binary, payload binary, timestamps array<long>, access array<struct<packet: long, pts: long>>, packets long, discontinuities long"
+    """Reads stored streams back: payload, timestamps, random-access points, packets, discontinuities, and error.
+
+    A stream that cannot be read, null or empty ones included, has its reason in error, and nulls for the rest.
+    """
+    schema = f"{_KEEP}, media binary, payload binary, timestamps array<long>, access array<struct<packet: long, pts: long>>, packets long, discontinuities long, error string"
     return map_rows(stored.select("doc_id", "n_bytes", "media"), _read, schema)
 
 
 def digests(docs: DataFrame) -> DataFrame:
     """Every text stored, read back and described; see the module on nulls and empty texts.
 
-    feature: packets, elementary packets, last timestamp, random-access points and discontinuities.
+    feature: packets, elementary packets, last timestamp, random-access points and discontinuities. error is null
+    unless a stored stream could not be read back.
     """
     back = load(store(padded(docs)))
     size = F.octet_length("payload")
@@ -272,4 +293,5 @@ def digests(docs: DataFrame) -> DataFrame:
             F.size("access"),
             "discontinuities",
         ).alias("feature"),
+        "error",
     )

@@ -13,7 +13,8 @@ No prefix sum runs over a source's documents. Counts by (source, size, bucket of
 over distinct sizes within a source and over buckets within a size; only ranks within a bucket look at
 documents, which spreads a hot source, and a hot size, over the cluster.
 
-Repeated rows are sampled one by one; rows that agree on source, size, id and text are interchangeable.
+Repeated rows are sampled one by one; rows that agree on source, size, id and text are interchangeable. Texts may be of
+any length. Empty tables give no rows. mixed() carries all columns in a struct, so that they may have any names.
 Null ids come first among equal sizes. Sources without words have target 0 and give no copies. The
 per-source table (one row a source) is ranked in one task.
 """

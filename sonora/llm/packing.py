@@ -11,6 +11,8 @@ bound of all pieces, a partition gives up at most RELEASED_BINS bins with much r
 the count meets that bound, or with one partition.
 
 Partitions have about ITEMS_PER_TASK pieces, dealt without a key, so repeated rows do not gather. Null and empty texts are one end id.
+Null ids stay null. Ties in length are packed in the order in which the pieces come. Empty tables give no rows. Only doc_id and
+text are read, so other columns may have any names. Texts may be of any length; one is held at once.
 Repeated rows are packed one by one. Whole texts are tokenized; the ids are those of the `tokenizers`
 library (special tokens' strings are ordinary text). For texts whose code points are all below U+0250
 the same vocabulary's rank file gives the same ids, which tests hold against each other, in a quarter

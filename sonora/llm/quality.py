@@ -6,7 +6,9 @@ the mask is set. Ablations (what a rule alone removes, what a policy without it
 aggregates over the ledger, so no text is read again.
 
 Words are runs of anything but space and \t to \r. A null or empty text has no words; its ratios are
-0 and it fails the rules on length. Letters are A-Z, a-z and every code point from U+00C0 on. Rows are independent: repeated rows get equal results.
+0 and it fails the rules on length. Letters are A-Z, a-z and every code point from U+00C0 on. Rows are independent: repeated rows
+get equal results, null ids stay null, and there are no ties. Whole texts of any length are measured; one is held at once.
+Empty tables give an empty ledger. Only doc_id and text are read, so other columns may have any names.
 """
 
 from __future__ import annotations

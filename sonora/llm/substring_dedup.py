@@ -14,7 +14,9 @@ every word (not only at anchors) that hold a unit near an end of such a span, an
 each. A repeated PASSAGE has a unit, so it lies in a span or reaches over an end of one: every run of PASSAGE
 words or more that an earlier place has is removed whole. Spans are in code points of the original text. A repetition within a document counts too. Rows that repeat an id
 and a text have their places in common, so neither is a repetition of the other. Null and empty texts
-have no units. One document's words are held at once.
+have no units. Ties cannot occur but between repeated rows. One document's words are held at once, whatever its length.
+Empty tables give no rows. cleaned() carries all columns in a struct, so that they may have any names; a column
+removed_spans is replaced.
 """
 
 from __future__ import annotations

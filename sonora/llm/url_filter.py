@@ -8,7 +8,9 @@ The subject is `host NUL path`, with `?query` after it, so that a rule for a hos
 is two globs. `*` stands for any bytes, `?` for one byte; patterns are matched to the whole subject.
 
 A null URL, or one without `://`, has an empty host and path, fits no host rule, and is judged by the
-globs on its (empty) subject. URLs are bytes of UTF-8 and may be of any length.
+globs on its (empty) subject. URLs are bytes of UTF-8 and may be of any length. Of rules that fit, the longest wins, of
+equally long ones the first of the policy. Rows are independent: repeated rows get equal results, null ids stay null.
+Empty tables give no rows. Only page_id and url are read, so other columns may have any names.
 """
 
 from __future__ import annotations

@@ -57,3 +57,36 @@ def test_query(spark):
         assert row.media_sha256 == hashlib.sha256(media.encode(want)).hexdigest()
         assert row.media_bytes == len(media.encode(want))
     assert media.digests(docs.limit(0)).count() == 0
+
+
+#: Written by hand: program 1 on PID 0x1000 with one stream on PID 0x100; checksums are those of common encoders.
+PAT = bytes.fromhex("4740001000" "00b00d0001c100000001f0002ab104b2").ljust(188, b"\xff")
+PMT = bytes.fromhex("4750001000" "02b0120001c10000e100f0001be100f00015bd4d56").ljust(188, b"\xff")
+PES = bytes.fromhex("000001bd000b8480052100010001") + b"abc"
+
+
+def packet(counter, pes):
+    field = 188 - 5 - len(pes)
+    return bytes([0x47, 0x41, 0x00, 0x30 | counter, field, 0x40]) + b"\xff" * (field - 1) + pes
+
+
+def test_a_stream_written_by_hand():
+    later = PES[:9] + bytes.fromhex("2100017521") + b"xyz"  # its timestamp: 0x75 in the fourth byte, 16 in the fifth
+    stream = media.decode(PAT + PMT + packet(0, PES) + packet(1, later))
+    assert stream.payload == b"abcxyz" and stream.packets == 4 and stream.discontinuities == 0
+    assert stream.timestamps == [0, 0x75 << 7 | 0x21 >> 1] and stream.access == [(2, 0), (3, stream.timestamps[1])]
+    twice = media.decode(PAT + PMT + packet(0, PES) + packet(0, PES) + packet(1, later))
+    assert twice.payload == b"abcxyz" and twice.discontinuities == 0 and twice.packets == 5
+    gap = media.decode(PAT + PMT + packet(0, PES) + packet(2, later))
+    assert gap.payload == b"abcxyz" and gap.discontinuities == 1
+    filled = media.decode(PAT + PMT + packet(0, PES) + bytes([0x47, 0x1F, 0xFF, 0x10]) + b"\xff" * 184 + packet(1, later))
+    assert filled.payload == b"abcxyz" and filled.discontinuities == 0
+
+
+def test_damaged_streams_in_a_table(spark):
+    good = media.encode(b"abc" * 100)
+    rows = [(1, good), (2, good[:-1]), (3, None), (4, b""), (5, good[:14] + b"\x55" + good[15:]), (6, PAT + PMT + packet(0, PES[:5]))]
+    df = spark.createDataFrame([(i, 300, bytearray(m) if m is not None else None) for i, m in rows], "doc_id long, n_bytes long, media binary")
+    found = {r.doc_id: r for r in media.load(df).collect()}
+    assert bytes(found[1].payload) == b"abc" * 100 and found[1].error is None
+    assert all(found[i].payload is None and found[i].error for i in range(2, 7))
