@@ -1,4 +1,9 @@
-"""The corpus pipeline: five stages, each written as Parquet and read again as the next one's documents."""
+"""The corpus pipeline: five stages, each written as Parquet and read again as the next one's documents.
+
+All but the last stage keep the columns of documents, whatever else these are named. Null and empty texts have no
+letter, so the first stage rejects them. Of repeated rows and equal texts line deduplication and near duplicates leave
+one, ties going to the smaller id, null ids last. Texts may be of any length. Empty tables give empty results.
+"""
 
 from __future__ import annotations
 
