@@ -189,11 +189,12 @@ def decode(data: bytes) -> Stream:
     lost, full = 0, control & 1 > 0
     for own in np.unique(pids[pids != NO_PID]):
         at = np.flatnonzero((pids == own) & full)
-        seen = counters[at].astype(np.int16)
-        again = np.flatnonzero(np.diff(seen) == 0)
-        twice = [k + 1 for k in again if data[starts[at[k]] : (at[k] + 1) * PACKET] == data[starts[at[k + 1]] : (at[k + 1] + 1) * PACKET]]
-        full[at[twice]] = False
-        lost += int(((np.diff(np.delete(seen, twice)) - 1) % 16 != 0).sum())
+        step = np.diff(counters[at].astype(np.int16)) % 16
+        if not step.all():
+            twice = [k for k in np.flatnonzero(step == 0) if data[starts[at[k]] : (at[k] + 1) * PACKET] == data[starts[at[k + 1]] : (at[k + 1] + 1) * PACKET]]
+            full[at[1:][twice]] = False
+            step = np.delete(step, twice)
+        lost += int((step != 1).sum())
     mine = np.flatnonzero((pids == pid) & full)
     flags = np.where((control[mine] & 2 > 0) & (field[mine] > 1), grid[mine, 5], 0)
     heads = np.flatnonzero(begins[mine])
