@@ -37,9 +37,8 @@ def _plateaus(scored: DataFrame, by: list[str]) -> DataFrame:
     """(group, at, x, right, n): plateaus within contiguous ranges of the pairs, in order of `at` and x."""
     cell = scored.withColumn("cell", F.floor(F.col("seq") / metrics.SEQ_RANGE))
     counts = cell.groupBy(*by, "score", "cell").agg(F.count("*").alias("n"))
-    before = W.partitionBy(*by).orderBy("score", "cell").rowsBetween(W.unboundedPreceding, -1)
-    place = F.floor(F.coalesce(F.sum("n").over(before), F.lit(0)) / POOLED_TOGETHER)
-    placed = cell.join(counts.withColumn("at", place).drop("n"), [*by, "score", "cell"]).select(*by, "at", "score", "seq", "correct")
+    places = metrics.preceding(counts, by, ["cell"], ["n"]).select(*by, "score", "cell", F.floor(F.col("before_n") / POOLED_TOGETHER).alias("at"))
+    placed = cell.join(places, [*by, "score", "cell"]).select(*by, "at", "score", "seq", "correct")
     schema = T.StructType([*[scored.schema[c] for c in by], *T.StructType.fromDDL("at long, k long, x double, right long, n long").fields])
 
     def pool(key, pairs):
@@ -95,10 +94,10 @@ def threshold_for_risk(scored: DataFrame, by: list[str], risks: DataFrame) -> Da
     Thresholds are distinct scores, accepted is score >= threshold. threshold is null, coverage and
     realized_risk are 0 where no threshold keeps the risk. risks has a column max_risk.
     """
-    higher = W.partitionBy(*by).orderBy(F.col("score").desc())
     counts = metrics.score_counts(scored, by)
     total = counts.groupBy(*by).agg(F.sum("n").alias("total"))
-    curve = counts.withColumn("kept", F.sum("n").over(higher)).withColumn("risk", F.sum("errors").over(higher) / F.col("kept"))
+    curve = metrics.preceding(counts, by, [], ["n", "errors"], descending=True).withColumn("kept", F.col("before_n") + F.col("n"))
+    curve = curve.withColumn("risk", (F.col("before_errors") + F.col("errors")) / F.col("kept"))
     tried = curve.join(total, by).join(F.broadcast(risks.select("max_risk")))
     best = F.min(F.when(F.col("risk") <= F.col("max_risk"), F.struct("score", (F.col("kept") / F.col("total")).alias("coverage"), "risk")))
     found = tried.groupBy(*by, "max_risk").agg(best.alias("best"))

@@ -2,8 +2,8 @@
 
 All operators take scored pairs: the group columns, `seq` (unique in a group; it orders ties), `score` double
 and `correct` boolean. Undefined values are null. Groups are few and large, so nothing sorts a group in
-one task: counts by distinct score, or by score and a range of seq, are summed up first, and only their
-table, one row a cell, is ordered by group.
+one task: counts by distinct score, or by score and a range of seq, are summed up first, and their table, one
+row a cell, is ordered by ranges of the score. Only the ranges' totals are ordered by group.
 """
 
 from __future__ import annotations
@@ -14,6 +14,8 @@ from pyspark.sql.window import Window as W
 
 #: Width of a range of seq; rows of equal score within one are ordered together.
 SEQ_RANGE = 65536
+#: Ranges of score that [0, 1] is cut into.
+SCORE_RANGES = 65536
 
 
 def wrong() -> Column:
@@ -29,10 +31,30 @@ def score_counts(scored: DataFrame, by: list[str]) -> DataFrame:
     return scored.groupBy(*by, "score").agg(F.count("*").alias("n"), F.sum(wrong()).alias("errors"))
 
 
+def preceding(cells: DataFrame, by: list[str], order: list[str], sums: list[str], descending: bool = False) -> DataFrame:
+    """cells (group, score, ...) with before_<c> for each c of sums: its total over the group's earlier cells.
+
+    Cells follow the score, then order. They are summed up within ranges of the score, so scores that are not rounded
+    are spread over tasks; a group's ranges are 65536 at most for scores in [0, 1], in proportion for wider scores.
+    Null scores come before all others (last if descending), NaN after.
+    """
+    way = Column.desc if descending else Column.asc
+    least, most = F.lit(-(2**63)), F.lit(2**63 - 1)
+    ranged = cells.withColumn("range", F.when(F.isnan("score"), most).otherwise(F.coalesce(F.floor(F.col("score") * SCORE_RANGES), least)))
+    earlier = lambda window: window.rowsBetween(W.unboundedPreceding, -1)
+    across = earlier(W.partitionBy(*by).orderBy(way(F.col("range"))))
+    within = earlier(W.partitionBy(*by, "range").orderBy(way(F.col("score")), *order))
+    totals = ranged.groupBy(*by, "range").agg(*[F.sum(c).alias(c) for c in sums])
+    keys = [*by, "range"]
+    starts = totals.select(*[F.col(k).alias(f"_{k}") for k in keys], *[F.coalesce(F.sum(c).over(across), F.lit(0)).alias(f"start_{c}") for c in sums])
+    inside = ranged.select("*", *[F.coalesce(F.sum(c).over(within), F.lit(0)).alias(f"inside_{c}") for c in sums])
+    placed = inside.join(starts, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
+    return placed.select(*cells.columns, *[(F.col(f"start_{c}") + F.col(f"inside_{c}")).alias(f"before_{c}") for c in sums])
+
+
 def auroc(scored: DataFrame, by: list[str]) -> DataFrame:
     """Area under the ROC curve by rank sums, ties at their average rank; null if a class is absent."""
-    below = W.partitionBy(*by).orderBy("score").rowsBetween(W.unboundedPreceding, -1)
-    ranked = score_counts(scored, by).withColumn("rank", F.coalesce(F.sum("n").over(below), F.lit(0)) + (F.col("n") + 1) / 2)
+    ranked = preceding(score_counts(scored, by), by, [], ["n"]).withColumn("rank", F.col("before_n") + (F.col("n") + 1) / 2)
     sums = ranked.groupBy(*by).agg(F.sum((F.col("n") - F.col("errors")) * F.col("rank")).alias("ranks"), F.sum(F.col("n") - F.col("errors")).alias("right"), F.sum("errors").alias("errors"))
     right, errors = F.col("right").cast("double"), F.col("errors").cast("double")
     return sums.select(*by, _ratio(F.col("ranks") - right * (right + 1) / 2, right * errors).alias("auroc"))
@@ -41,15 +63,13 @@ def auroc(scored: DataFrame, by: list[str]) -> DataFrame:
 def running(scored: DataFrame, by: list[str], descending: bool) -> DataFrame:
     """Each pair with its rank in order of score (ties by seq) and the errors up to it."""
     cell = scored.withColumn("cell", F.floor(F.col("seq") / SEQ_RANGE))
-    counts = cell.groupBy(*by, "score", "cell").agg(F.count("*").alias("n"), F.sum(wrong()).alias("cell_errors"))
-    score = F.col("score").desc() if descending else F.col("score").asc()
-    before = W.partitionBy(*by).orderBy(score, "cell").rowsBetween(W.unboundedPreceding, -1)
-    starts = counts.select(*by, "score", "cell", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n_before"), F.coalesce(F.sum("cell_errors").over(before), F.lit(0)).alias("errors_before"))
+    counts = cell.groupBy(*by, "score", "cell").agg(F.count("*").alias("n"), F.sum(wrong()).alias("errors"))
+    starts = preceding(counts, by, ["cell"], ["n", "errors"], descending).drop("n", "errors")
     own = W.partitionBy(*by, "score", "cell").orderBy("seq")
     placed = cell.join(starts, [*by, "score", "cell"])
-    placed = placed.withColumn("rank", F.col("n_before") + F.row_number().over(own))
+    placed = placed.withColumn("rank", F.col("before_n") + F.row_number().over(own))
     so_far = own.rowsBetween(W.unboundedPreceding, W.currentRow)
-    return placed.withColumn("errors", F.col("errors_before") + F.sum(wrong()).over(so_far)).drop("cell", "n_before", "errors_before")
+    return placed.withColumn("errors", F.col("before_errors") + F.sum(wrong()).over(so_far)).drop("cell", "before_n", "before_errors")
 
 
 def auc_nt(scored: DataFrame, by: list[str]) -> DataFrame:

@@ -42,9 +42,10 @@ def estimators(words: DataFrame, by: list[str], seg: str = "seg_id") -> DataFram
 def scored_pairs(labelled: DataFrame, by: list[str], order: list[str], names: tuple[str, ...] = ESTIMATORS) -> DataFrame:
     """(by, estimator, seq, score, correct) of words whose label is known.
 
-    seq follows the order columns (non-negative numbers below 2^21 each but the first).
+    seq follows the order columns, a decimal, as the first may be any long (a hash of a path); the others, at most two,
+    are non-negative numbers below 2^21.
     """
-    seq = F.col(order[0]).cast("long")
+    seq = F.col(order[0]).cast("decimal(20,0)")
     for column in order[1:]:
         seq = seq * F.lit(1 << 21) + F.col(column)
     known = labelled.filter("correct is not null").withColumn("seq", seq)

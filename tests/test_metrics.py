@@ -1,4 +1,5 @@
 import random
+import re
 
 import oracles as O
 import pytest
@@ -33,6 +34,33 @@ def test_random_groups_with_ties(spark, monkeypatch, op, oracle, span):
     assert got == {g: (None if (want := oracle(p)) is None else pytest.approx(want, abs=1e-9)) for g, p in own.items()}
 
 
+@pytest.mark.parametrize("ranges", [M.SCORE_RANGES, 7])
+def test_scores_that_are_not_rounded(spark, monkeypatch, ranges):
+    monkeypatch.setattr(M, "SCORE_RANGES", ranges)
+    rng = random.Random(3)
+    own = {k: [(rng.gauss(0.5, w), rng.random() < 0.7) for _ in range(90)] + [(0.5, True), (-0.0, False)] for k, w in (("a", 0.2), ("b", 3.0), (None, 1e-7))}
+    df = frame(spark, own)
+    assert values(M.auroc(df, BY), "auroc") == {g: pytest.approx(O.auroc(p), abs=1e-9) for g, p in own.items()}
+    named = frame(spark, own).filter("g is not null")
+    pairs = {g: p for g, p in own.items() if g}
+    assert values(M.auc_nt(named, BY), "auc_nt") == {g: pytest.approx(O.auc_nt(p), abs=1e-9) for g, p in pairs.items()}
+    assert values(M.aurc(named, BY), "aurc") == {g: pytest.approx(sum(O.curve(p)) / len(p), abs=1e-9) for g, p in pairs.items()}
+    assert {r.g: [(k.x, pytest.approx(k.y)) for k in r.knots] for r in C.fit(named, BY).collect()} == {g: O.isotonic(p, True) for g, p in pairs.items()}
+    for r in C.threshold_for_risk(named, BY, spark.createDataFrame([(0.2,)], "max_risk double")).collect():
+        assert (r.threshold, r.coverage, r.realized_risk) == pytest.approx(O.threshold(pairs[r.g], 0.2))
+
+
+def test_no_window_orders_a_groups_scores(spark):
+    """Windows over a whole group see the totals of ranges only."""
+    df = frame(spark, groups(2))
+    risks = spark.createDataFrame([(0.2,)], "max_risk double")
+    for found in (M.auroc(df, BY), M.auc_nt(df, BY), M.risk_coverage(df, BY), C.threshold_for_risk(df, BY, risks), C.fit(df, BY)):
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        windows = re.findall(r"Window \[.*, \[([^\[\]]*)\], \[([^\[\]]*)\]$", plan, re.M)
+        whole = [order for partition, order in windows if re.fullmatch(r"g#\d+", partition)]
+        assert whole and all(order.startswith("range#") for order in whole)
+
+
 def test_known_values(spark):
     T, F = True, False
     own = {"a": [(3, T), (1, T), (2, F), (0, F)], "b": [(0.5, T), (0.5, F)] * 3, "c": [(0.1, F), (0.2, T), (0.8, F), (0.9, T)], "d": [(0.9, T)] * 9 + [(0.9, F)], "e": [(1.0, F)] * 4}
