@@ -78,7 +78,7 @@ class Analyzer:
 
         conditions = clips.select(*BY, F.lit(None if policy in (None, "auto") else policy).cast("string").alias("condition"), F.lit(None).cast("double").alias("snr_db"))
         if policy == "auto":
-            estimates = V.snr(V.samples(clips, BY), spans, BY)
+            estimates = V.clip_snr(clips, spans, BY)
             conditions = V.nearest_condition(estimates, BY, self.policies).select(*BY, "condition", "snr_db")
         words = R.words(segments, BY).join(conditions.select(*BY, "condition"), BY, "left")
         blank = {"reliability": F.lit(None).cast("double"), "accept": F.lit(None).cast("boolean")}

@@ -1,7 +1,8 @@
 """Voice activity from frame energies, merged spans, speech ratio, and signal-to-noise estimates.
 
-Samples are long-form rows (utterance keys, i from 0, y) or arrays, which explode into the former. A clip's
-frames are spread over tasks; only its frame table (one row for 30 ms) is ordered by clip.
+Samples are long-form rows (utterance keys, i from 0, y) or arrays, a clip a row. Arrays stay arrays (clip_segments,
+clip_snr): their frames and sums are made in place, and a row is a frame of 30 ms. Long-form samples are summed up by
+frame before frames are ordered by clip.
 """
 
 from __future__ import annotations
@@ -29,6 +30,19 @@ def frame_energies(long: DataFrame, by: list[str], frame: int) -> DataFrame:
     return frames.filter(F.col("n") == frame).select(*by, "idx", (F.log10(F.sqrt("power") + 1e-10) * 20).alias("db"))
 
 
+def _power(samples: Column, start: Column, n: Column) -> Column:
+    """Sum of squares of the n samples from start (from 0) on."""
+    return F.aggregate(F.slice(samples, start.cast("int") + 1, n.cast("int")), F.lit(0.0), lambda acc, y: acc + y.cast("double") * y.cast("double"))
+
+
+def clip_frames(clips: DataFrame, by: list[str], frame: int, array: str = "samples") -> DataFrame:
+    """frame_energies of clips that hold their samples as arrays, without a row a sample; no frames for null or short ones."""
+    whole = F.floor(F.size(array) / frame)
+    level = lambda k: F.log10(F.sqrt(_power(F.col(array), k * frame, F.lit(frame)) / frame) + 1e-10) * 20
+    frames = F.when(whole > 0, F.transform(F.sequence(F.lit(0).cast("long"), whole - 1), level))
+    return clips.select(*by, F.posexplode(frames).alias("idx", "db")).withColumn("idx", F.col("idx").cast("long"))
+
+
 def active_frames(frames: DataFrame, by: list[str]) -> DataFrame:
     """frames with `active`: above both max - 30 dB and the 20th percentile + 8 dB of the clip."""
     stats = frames.groupBy(*by).agg(F.greatest(F.max("db") - 30, F.percentile("db", F.lit(0.2)) + 8).alias("threshold"), F.count("*").alias("n_frames"))
@@ -55,15 +69,29 @@ def merged(spans: DataFrame, by: list[str], min_gap_s: float = MIN_GAP_S) -> Dat
     return cut.groupBy(*by, "island").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("island")
 
 
-def energy_segments(long: DataFrame, by: list[str], sample_rate: int = 16000) -> DataFrame:
-    """Speech spans of each clip by frame energy with hangover; short ones go after merging."""
-    frame = max(1, sample_rate * FRAME_MS // 1000)
+def frame_size(sample_rate: int) -> int:
+    return max(1, sample_rate * FRAME_MS // 1000)
+
+
+def frame_segments(frames: DataFrame, by: list[str], frame_s: float) -> DataFrame:
+    """Speech spans of each clip by its frames' energy with hangover; short ones go after merging."""
     hang = math.ceil(HANG_MS / FRAME_MS)
-    active = active_frames(frame_energies(long, by, frame), by)
-    joined = merged(runs(active, by, F.lit(frame / sample_rate), hang), by)
+    joined = merged(runs(active_frames(frames, by), by, F.lit(frame_s), hang), by)
     return joined.filter(F.col("end") - F.col("start") >= MIN_SPEECH_MS / 1000)
 
 
+def energy_segments(long: DataFrame, by: list[str], sample_rate: int = 16000) -> DataFrame:
+    """frame_segments of long-form samples."""
+    frame = frame_size(sample_rate)
+    return frame_segments(frame_energies(long, by, frame), by, frame / sample_rate)
+
+
+def clip_segments(clips: DataFrame, by: list[str], sample_rate: int = 16000, array: str = "samples") -> DataFrame:
+    """frame_segments of clips that hold their samples as arrays."""
+    frame = frame_size(sample_rate)
+    return frame_segments(clip_frames(clips, by, frame, array), by, frame / sample_rate)
+
+
 def speech_ratio(spans: DataFrame, durations: DataFrame, by: list[str]) -> DataFrame:
     """Share of each clip's duration_s that its spans fill, at most 1; 0 without a duration."""
     total = spans.groupBy(*by).agg(F.sum(F.col("end") - F.col("start")).alias("speech_s"))
@@ -85,6 +113,15 @@ def speech_mask(long: DataFrame, spans: DataFrame, by: list[str], sample_rate: f
     return placed.withColumn("speech", F.coalesce(within, F.lit(False))).drop("block", "inside")
 
 
+def _snr_of(stats: DataFrame, by: list[str], sample_rate: float) -> DataFrame:
+    """(group, n_speech, n_noise, loud, noise) counts of samples and their mean powers to snr_db."""
+    signal = F.col("loud") - F.col("noise")
+    level = F.greatest(F.lit(-MAX_SNR_DB), F.least(F.lit(MAX_SNR_DB), F.log10(signal / F.col("noise")) * 10))
+    value = F.when(F.col("noise") <= 0, F.lit(MAX_SNR_DB)).when(signal <= 0, F.lit(-MAX_SNR_DB)).otherwise(level)
+    enough = (F.col("n_speech") >= MIN_SPEECH_S * sample_rate) & (F.col("n_noise") >= MIN_NOISE_S * sample_rate)
+    return stats.select(*by, F.when(enough, value).alias("snr_db"))
+
+
 def snr(long: DataFrame, spans: DataFrame, by: list[str], sample_rate: float = 16000) -> DataFrame:
     """snr_db of each clip; null without enough speech or enough other audio to tell."""
     y = F.col("y").cast("double")
@@ -92,11 +129,27 @@ def snr(long: DataFrame, spans: DataFrame, by: list[str], sample_rate: float = 1
     stats = speech_mask(long, spans, by, sample_rate).groupBy(*by).agg(
         F.count_if("speech").alias("n_speech"), F.count_if(~F.col("speech")).alias("n_noise"), power(F.col("speech")).alias("loud"), power(~F.col("speech")).alias("noise")
     )
-    signal = F.col("loud") - F.col("noise")
-    level = F.greatest(F.lit(-MAX_SNR_DB), F.least(F.lit(MAX_SNR_DB), F.log10(signal / F.col("noise")) * 10))
-    value = F.when(F.col("noise") <= 0, F.lit(MAX_SNR_DB)).when(signal <= 0, F.lit(-MAX_SNR_DB)).otherwise(level)
-    enough = (F.col("n_speech") >= MIN_SPEECH_S * sample_rate) & (F.col("n_noise") >= MIN_NOISE_S * sample_rate)
-    return stats.select(*by, F.when(enough, value).alias("snr_db"))
+    return _snr_of(stats, by, sample_rate)
+
+
+def clip_snr(clips: DataFrame, spans: DataFrame, by: list[str], sample_rate: float = 16000, array: str = "samples") -> DataFrame:
+    """snr of clips that hold their samples as arrays: sums over speech and over the gaps between, without a row a sample."""
+    n = F.size(array)
+    cut = merged(spans, by, 0.0).select(*by, F.greatest(F.lit(0), (F.col("start") * sample_rate).cast("int")).alias("a"), (F.col("end") * sample_rate).cast("int").alias("b")).filter("b > a")
+    speech = cut.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("a", "b"))).alias("inside"))
+    clips = clips.filter(n > 0).select(*by, F.col(array).alias("_y")).join(speech, by, "left")
+    none = F.array().cast("array<struct<a:int,b:int>>")
+    n = F.size("_y")
+    kept = F.filter(F.transform(F.coalesce("inside", none), lambda s: F.struct(F.least(s.a, n).alias("a"), F.least(s.b, n).alias("b"))), lambda s: s.b > s.a)
+    clips = clips.select(*by, "_y", kept.alias("inside"))
+    ends = F.concat(F.array(F.lit(0)), F.transform("inside", lambda s: s.b))
+    starts = F.concat(F.transform("inside", lambda s: s.a), F.array(n))
+    clips = clips.withColumn("outside", F.zip_with(ends, starts, lambda a, b: F.struct(a.alias("a"), F.greatest(a, b).alias("b"))))
+    total = lambda spans: F.aggregate(spans, F.lit(0.0), lambda acc, s: acc + _power(F.col("_y"), s.a, s.b - s.a))
+    count = lambda spans: F.aggregate(spans, F.lit(0), lambda acc, s: acc + s.b - s.a)
+    parts = clips.select(*by, count("inside").alias("n_speech"), count("outside").alias("n_noise"), total("inside").alias("speech"), total("outside").alias("rest"))
+    mean = lambda power, n: F.when(F.col(n) > 0, F.col(power) / F.col(n))
+    return _snr_of(parts.select(*by, "n_speech", "n_noise", mean("speech", "n_speech").alias("loud"), mean("rest", "n_noise").alias("noise")), by, sample_rate)
 
 
 def nearest_condition(estimates: DataFrame, by: list[str], conditions: DataFrame) -> DataFrame:

@@ -67,7 +67,7 @@ def speech_spans(clips: DataFrame, factory: Callable[[], Callable] | None, backe
         except Exception:
             if backend == "neural":
                 raise
-    return voice.energy_segments(voice.samples(clips, ["utt_id"]), ["utt_id"]), "energy"
+    return voice.clip_segments(clips, ["utt_id"]), "energy"
 
 
 def resolved_device(device: str = "auto", compute: str = "auto", cuda_devices: int = 0) -> tuple[str, str]:

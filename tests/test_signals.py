@@ -80,6 +80,25 @@ def test_voice_activity(spark):
     assert backend == "neural" and sorted((r.start, r.end) for r in neural.filter("utt_id = 0").collect()) == [(0.0, 0.7), (2.0, 2.1)]
 
 
+def test_arrays_give_what_rows_give(spark):
+    rng = np.random.default_rng(5)
+    made = [noisy_tone(rng, 5), rng.normal(0, 0.2, RATE + 77), np.zeros(RATE), rng.normal(0, 0.1, 479), np.zeros(0), np.r_[np.zeros(RATE), noisy_tone(rng)]]
+    df, by = clips(spark, *made), ["utt_id"]
+    spans = [(i, a, b) for i in range(5) for a, b in ((0.2, 0.5), (0.5, 0.8), (0.7, 1.1), (2.0, 9.0))] + [(0, -1.0, 0.1), (1, 0.1, 0.1), (7, 0.0, 1.0)]
+    table = spark.createDataFrame(spans, "utt_id long, start double, end double")
+    plain = lambda found: {tuple(r)[:-1]: pytest.approx(r[-1], abs=1e-6) for r in found.collect()}
+    for a, b in (
+        (V.clip_frames(df, by, 480), V.frame_energies(V.samples(df, by), by, 480)),
+        (V.clip_segments(df, by), V.energy_segments(V.samples(df, by), by)),
+        (V.clip_snr(df, table, by), V.snr(V.samples(df, by), table, by)),
+    ):
+        want = plain(b)
+        assert want and {tuple(r)[:-1]: r[-1] for r in a.collect()} == want
+    assert V.clip_segments(df.limit(0), by).count() == V.clip_snr(df.limit(0), table, by).count() == 0
+    nulls = spark.createDataFrame([(1, None)], "utt_id long, samples array<float>")
+    assert V.clip_segments(nulls, by).count() == V.clip_snr(nulls, table, by).count() == 0
+
+
 def brute_runs(mask, hang):
     out, start, quiet = [], None, 0
     for i, on in enumerate(mask):
