@@ -1,16 +1,21 @@
 """Voice activity from frame energies, merged spans, speech ratio, and signal-to-noise estimates.
 
 Samples are long-form rows (utterance keys, i from 0, y) or arrays, a clip a row. Arrays stay arrays (clip_segments,
-clip_snr): their frames and sums are made in place, and a row is a frame of 30 ms. Long-form samples are summed up by
+clip_snr): their frames are made by numpy, their sums in place, and a row is a frame of 30 ms. Long-form samples are summed up by
 frame before frames are ordered by clip.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.window import Window as W
 
 FRAME_MS, HANG_MS, MIN_SPEECH_MS = 30, 120, 200
@@ -36,11 +41,24 @@ def _power(samples: Column, start: Column, n: Column) -> Column:
 
 
 def clip_frames(clips: DataFrame, by: list[str], frame: int, array: str = "samples") -> DataFrame:
-    """frame_energies of clips that hold their samples as arrays, without a row a sample; no frames for null or short ones."""
-    whole = F.floor(F.size(array) / frame)
-    level = lambda k: F.log10(F.sqrt(_power(F.col(array), k * frame, F.lit(frame)) / frame) + 1e-10) * 20
-    frames = F.when(whole > 0, F.transform(F.sequence(F.lit(0).cast("long"), whole - 1), level))
-    return clips.select(*by, F.posexplode(frames).alias("idx", "db")).withColumn("idx", F.col("idx").cast("long"))
+    """frame_energies of clips that hold their samples as arrays, over Arrow; no frames for null or short ones."""
+    schema = T.StructType([*[clips.schema[c] for c in by], *T.StructType.fromDDL("db array<double>").fields])
+    arrow = to_arrow_schema(schema)
+
+    def levels(samples: pa.ListScalar) -> np.ndarray | None:
+        if not samples.is_valid:
+            return None
+        y = samples.values.to_numpy(zero_copy_only=False).astype(np.float64)
+        power = np.square(y[: len(y) // frame * frame]).reshape(-1, frame).mean(axis=1)
+        return np.log10(np.sqrt(power) + 1e-10) * 20
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = pa.array([levels(v) for v in batch.column(len(by))], arrow.field("db").type)
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(by)], found], schema=arrow)
+
+    framed = clips.select(*by, array).mapInArrow(run, schema)
+    return framed.select(*by, F.posexplode("db").alias("idx", "db")).withColumn("idx", F.col("idx").cast("long"))
 
 
 def active_frames(frames: DataFrame, by: list[str]) -> DataFrame:
