@@ -14,7 +14,7 @@ from sonora.operators import signal as S
 from sonora.operators import transcripts as R
 from sonora.operators import voice as V
 from sonora.schemas import DecodeConfig
-from sonora.storage import written
+from sonora.storage import small, written
 
 BY = ["utt_id"]
 
@@ -98,7 +98,7 @@ class Analyzer:
             out = out.join(part, BY, "left")
         if policy:
             facts = self.policies.select("condition", F.round("threshold", 3).alias("threshold"), "target_risk")
-            out = out.join(F.broadcast(facts), "condition", "left")
+            out = out.join(small(facts), "condition", "left")
         else:
             out = out.withColumns({"threshold": F.lit(None).cast("double"), "target_risk": F.lit(None).cast("double")})
         no_words = F.coalesce("n_words", F.lit(0)) == 0

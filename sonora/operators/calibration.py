@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
 from sonora.operators import metrics
+from sonora.storage import small, written
 
 #: The threshold of a policy that accepts nothing.
 ACCEPT_NOTHING = 1.1
@@ -92,26 +93,28 @@ def threshold_for_risk(scored: DataFrame, by: list[str], risks: DataFrame) -> Da
     """For each group and max_risk: the least threshold whose accepted pairs are wrong at most so often.
 
     Thresholds are distinct scores, accepted is score >= threshold. threshold is null, coverage and
-    realized_risk are 0 where no threshold keeps the risk. risks has a column max_risk.
+    realized_risk are 0 where no threshold keeps the risk. risks is a short list, a table with a column max_risk.
     """
     counts = metrics.score_counts(scored, by)
     total = counts.groupBy(*by).agg(F.sum("n").alias("total"))
     curve = metrics.preceding(counts, by, [], ["n", "errors"], descending=True).withColumn("kept", F.col("before_n") + F.col("n"))
     curve = curve.withColumn("risk", (F.col("before_errors") + F.col("errors")) / F.col("kept"))
-    tried = curve.join(total, by).join(F.broadcast(risks.select("max_risk")))
-    best = F.min(F.when(F.col("risk") <= F.col("max_risk"), F.struct("score", (F.col("kept") / F.col("total")).alias("coverage"), "risk")))
-    found = tried.groupBy(*by, "max_risk").agg(best.alias("best"))
+    tried = curve.join(total, by)
+    targets = [r.max_risk for r in risks.select(F.col("max_risk").cast("double")).distinct().collect()]
+    point = F.struct("score", (F.col("kept") / F.col("total")).alias("coverage"), "risk")
+    best = [F.struct(F.lit(t).cast("double").alias("max_risk"), F.min(F.when(F.col("risk") <= F.lit(t), point)).alias("best")) for t in targets or [0.0]]
+    found = tried.groupBy(*by).agg(F.array(*best).alias("best")).select(*by, F.inline("best")).filter(F.lit(bool(targets)))
     return found.select(*by, "max_risk", F.col("best.score").alias("threshold"), F.coalesce("best.coverage", F.lit(0.0)).alias("coverage"), F.coalesce("best.risk", F.lit(0.0)).alias("realized_risk"))
 
 
 def calibrated(scored: DataFrame, calibrators: DataFrame, by: list[str]) -> DataFrame:
     """Pairs with `score` replaced by its calibrated value; groups without a calibrator go."""
-    return scored.join(F.broadcast(calibrators.select(*by, "knots")), by).withColumn("score", predict(F.col("score"), F.col("knots"))).drop("knots")
+    return scored.join(small(calibrators.select(*by, "knots")), by).withColumn("score", predict(F.col("score"), F.col("knots"))).drop("knots")
 
 
 def fit_policies(scored: DataFrame, by: list[str], target_risk: float = 0.02, notes: str = "") -> DataFrame:
     """A policy for each group: the calibrator, and the threshold read on its own calibrated pairs."""
-    calibrators = fit(scored, by)
+    calibrators = written(fit(scored, by))
     risks = scored.sparkSession.range(1).select(F.lit(float(target_risk)).alias("max_risk"))
     points = threshold_for_risk(calibrated(scored, calibrators, by), by, risks)
     return calibrators.join(points, by).select(
@@ -144,7 +147,7 @@ def held_out_report(scored: DataFrame, by: list[str]) -> DataFrame:
     """Calibration fitted on one half of each group and measured, raw and calibrated, on the other."""
     halves = interleaved(scored, by)
     held = halves.filter("held_out").drop("held_out")
-    after = calibrated(held, fit(halves.filter("not held_out").drop("held_out"), by), by)
+    after = calibrated(held, written(fit(halves.filter("not held_out").drop("held_out"), by)), by)
     out = metrics.auroc(held, by)
     for name, pairs in (("raw", held), ("calibrated", after)):
         out = out.join(metrics.ece(pairs, by).withColumnRenamed("ece", f"ece_{name}"), by)
@@ -167,7 +170,7 @@ def transfer(scored: DataFrame, policies: DataFrame, by: list[str], own_fit: boo
     own_fit adds the AUROC of the raw scores, and as a bound the error of calibrators fitted on these pairs.
     """
     facts = policies.select(*by, "knots", "threshold", "target_risk")
-    pairs = scored.join(F.broadcast(facts), by).withColumn("score", predict(F.col("score"), F.col("knots"))).drop("knots")
+    pairs = scored.join(small(facts), by).withColumn("score", predict(F.col("score"), F.col("knots"))).drop("knots")
     accepted = F.col("score") >= F.col("threshold")
     out = pairs.groupBy(*by, "target_risk").agg(
         F.count("*").alias("n"), F.count_if(accepted).alias("accepted"), F.sum(F.when(accepted, metrics.wrong())).alias("errors")
@@ -177,6 +180,6 @@ def transfer(scored: DataFrame, policies: DataFrame, by: list[str], own_fit: boo
     moved = metrics.ece(pairs.drop("threshold", "target_risk"), by).withColumnRenamed("ece", "ece_transferred")
     out = out.withColumn("verdict", verdict).drop("n", "errors").join(moved, by)
     if own_fit:
-        own = metrics.ece(calibrated(scored, fit(scored, by), by), by).withColumnRenamed("ece", "ece_own")
+        own = metrics.ece(calibrated(scored, written(fit(scored, by)), by), by).withColumnRenamed("ece", "ece_own")
         out = out.join(own, by).join(metrics.auroc(scored, by), by)
     return out

@@ -9,6 +9,7 @@ from pyspark.sql.window import Window as W
 from sonora.functions.distributions import log_softmax, normalized_entropy
 from sonora.operators.calibration import predict
 from sonora.schemas import DecodeConfig
+from sonora.storage import small
 
 #: A segment is flagged over this no-speech probability, whatever the decode's own knob says.
 FLAG_NO_SPEECH = 0.5
@@ -79,7 +80,7 @@ def token_words(tokens: DataFrame, by: list[str]) -> DataFrame:
 def word_reliability(words: DataFrame, policies: DataFrame, condition: str = "condition") -> DataFrame:
     """Words with reliability (unrounded) and accept, by the policy of their condition; null without one."""
     facts = policies.select(F.col("condition").alias(condition), "knots", "threshold")
-    joined = words.join(F.broadcast(facts), condition, "left")
+    joined = words.join(small(facts), condition, "left")
     reliability = F.when(F.col("threshold").isNotNull(), predict(F.col("prob"), F.col("knots")))
     return joined.withColumn("reliability", reliability).withColumn("accept", F.col("reliability") >= F.col("threshold")).drop("knots", "threshold")
 
@@ -89,7 +90,7 @@ def reliability_summary(annotated: DataFrame, policies: DataFrame, by: list[str]
     counts = annotated.filter("accept is not null").groupBy(*by, condition).agg(F.count("*").alias("words"), F.count_if("accept").alias("accepted"))
     counts = counts.withColumns({"review": F.col("words") - F.col("accepted"), "coverage": F.round(F.col("accepted") / F.col("words"), 3)})
     facts = policies.select(F.col("condition").alias(condition), F.round("threshold", 3).alias("threshold"), "target_risk")
-    return counts.join(F.broadcast(facts), condition).withColumn("estimator", F.lit("word_prob"))
+    return counts.join(small(facts), condition).withColumn("estimator", F.lit("word_prob"))
 
 
 def assembled(segments: DataFrame, by: list[str], seg: str = "seg_id") -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sonora.operators import calibration as C
 from sonora.operators import metrics as M
 from sonora.plans import bindings as B
+from sonora.storage import small
 
 BY = ["condition"]
 RISKS = (0.05, 0.10, 0.15, 0.20)
@@ -67,7 +68,7 @@ def _by_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def policy_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
     policies = B.policies(spark).select("condition", "knots", "threshold")
-    pairs = _by_policy(spark, sf_dir).join(F.broadcast(policies), "condition")
+    pairs = _by_policy(spark, sf_dir).join(small(policies), "condition")
     value = C.predict(F.col("score"), F.col("knots"))
     return B.rounded(pairs.select("condition", "seq", value.alias("calibrated"), C.accepts(F.col("score"), F.col("knots"), F.col("threshold")).alias("accept")))
 

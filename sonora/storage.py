@@ -8,6 +8,10 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Tables of policies and calibrators up to this many bytes (of JSON) are sent to every executor.
+BROADCAST_BYTES = 32 * 1024 * 1024
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -28,3 +32,9 @@ def written(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/{df.sparkSession.sparkContext.applicationId}/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def small(table: DataFrame) -> DataFrame:
+    """table, marked for broadcast if its rows were measured to take BROADCAST_BYTES at most; else the join shuffles."""
+    size = table.agg(F.sum(F.octet_length(F.to_json(F.struct("*"))))).first()[0] or 0
+    return F.broadcast(table) if size <= BROADCAST_BYTES else table

@@ -149,3 +149,17 @@ def test_log_softmax_of_long_rows(spark):
     for r in df.collect():  # time that grew with the square would be hours
         y = np.sin(np.arange(1, 50_001) + r.id * 7) * 5
         assert np.allclose(r.lp, y - np.log(np.exp(y).sum()), atol=1e-9)
+
+
+def test_tables_over_the_broadcast_bound_shuffle(spark, monkeypatch):
+    from sonora import storage
+
+    df = frame(spark, groups(5, 2))
+    calibrators = storage.written(C.fit(df, BY))
+    plan = lambda found: found._jdf.queryExecution().optimizedPlan().toString()
+    sent = C.calibrated(df, calibrators, BY)
+    monkeypatch.setattr(storage, "BROADCAST_BYTES", 10)
+    shuffled = C.calibrated(df, calibrators, BY)
+    assert "broadcast" in plan(sent) and "broadcast" not in plan(shuffled)
+    assert sorted(sent.collect()) == sorted(shuffled.collect())
+    assert C.threshold_for_risk(df, BY, spark.createDataFrame([], "max_risk double")).count() == 0
