@@ -131,6 +131,26 @@ class UrlPolicy:
         return out
 
 
+#: Rules that a table may hold. Masks take 2 KB for 64 characters of globs, and a URL in a batch 8 bytes.
+MAX_RULES = 20_000
+
+
+def policy_of(rules: DataFrame) -> UrlPolicy:
+    """The policy of a table (verdict, host, path, glob): host rules, and block globs where glob is not null.
+
+    Rules come in order of verdict, host, path and glob, repeated ones once; a null path fits all paths. A verdict other
+    than allow or block, an allow glob, a row with neither host nor glob, or over MAX_RULES rows is an error: nothing is dropped.
+    """
+    rows = rules.select("verdict", "host", "path", "glob").distinct().orderBy("verdict", "host", "path", "glob").limit(MAX_RULES + 1).collect()
+    if len(rows) > MAX_RULES:
+        raise ValueError(f"over {MAX_RULES} rules")
+    for r in rows:
+        if r.verdict not in (ALLOW, BLOCK) or (r.host is None) == (r.glob is None) or (r.glob is not None and r.verdict != BLOCK):
+            raise ValueError(f"not a rule: {r}")
+    hosts = tuple(HostRule(r.verdict, r.host.translate(_LOWER), r.path or "") for r in rows if r.host is not None)
+    return UrlPolicy(hosts, tuple(r.glob for r in rows if r.glob is not None))
+
+
 #: The production policy: the host rules, and words of hosts that carry spam.
 POLICY = UrlPolicy(
     rules=(

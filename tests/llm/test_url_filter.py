@@ -3,7 +3,9 @@ import re
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from sonora.llm.url_filter import POLICY, Automaton, filter_urls, parts
+import pytest
+
+from sonora.llm.url_filter import MAX_RULES, POLICY, Automaton, filter_urls, parts, policy_of
 
 
 def as_regex(glob: bytes) -> re.Pattern:
@@ -46,3 +48,28 @@ def test_parts_and_rules(spark):
     assert {r.page_id: r.verdict for r in rows}[13] == "block"
     assert parts("x") == ("", "", "")
     assert filter_urls(df.limit(0)).count() == 0
+
+
+def test_policy_from_a_table(spark):
+    kind = "verdict string, host string, path string, glob string"
+    hosts = [("block" if k % 3 else "allow", f"H{k}.example" if k % 2 else f"sub.h{k}.example", f"/p{k % 7}/" if k % 5 else None, None) for k in range(600)]
+    globs = [("block", None, None, f"*word{k}x*\0*") for k in range(200)]
+    policy = policy_of(spark.createDataFrame([*hosts, *globs, hosts[0]], kind))
+    assert len(policy.rules) == 600 and len(policy.block) == 200
+    urls = [f"https://a.h{k}.example/p{k % 7}/x" for k in range(0, 600, 7)] + [f"http://sub.h{k}.example/q" for k in range(0, 600, 10)] + [f"http://my-word{k}x.net/" for k in range(0, 260, 13)] + [None, "", "x"]
+    found = {r.page_id: r for r in filter_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), policy).collect()}
+    assert len(found) == len(urls)
+    for i, url in enumerate(urls):
+        host, path, _ = parts(url)
+        fits = [r for r in policy.rules if (host == r.host or host.endswith("." + r.host)) and path.startswith(r.path)]
+        best = max(fits, key=lambda r: len(r.name), default=None)
+        named = [f"*word{k}x*\0*" for k in range(200) if f"word{k}x" in host]
+        assert (found[i].rule, sorted(found[i].matched)) == (best and best.name, sorted(named))
+        assert found[i].verdict == (best.verdict if best else "block" if named else "allow")
+    for bad in (("maybe", "a", None, None), ("allow", None, None, "*"), ("block", None, "/", None), ("block", "a", None, "*")):
+        with pytest.raises(ValueError):
+            policy_of(spark.createDataFrame([bad], kind))
+    with pytest.raises(ValueError):
+        policy_of(spark.range(MAX_RULES + 1).selectExpr("'block' as verdict", "string(id) as host", "'/' as path", "string(null) as glob"))
+    empty = policy_of(spark.createDataFrame([], kind))
+    assert [r.verdict for r in filter_urls(spark.createDataFrame([(1, "http://a.b/")], "page_id long, url string"), empty).collect()] == ["allow"]
