@@ -98,9 +98,25 @@ def corpus(table: DataFrame, text: str = "text", audio: str = "audio", meta: tup
     return out.withColumn("key", parsed).select(F.col("key.id").alias("utt_id"), "samples", "sample_rate", "key.reference", "key.meta", "error").withColumn("duration_s", F.size("samples") / F.col("sample_rate"))
 
 
-def read_corpus(spark: SparkSession, name: str, path: str, readers: dict | None = None) -> DataFrame:
-    """A corpus by its name: `read` (studio speech, as it is) or `accented` (conversations)."""
-    known = {"read": lambda t: corpus(t, meta=()), "accented": corpus} | (readers or {})
+#: Fixed value: the accent of read speech.
+READ_ACCENT = "read/US"
+
+
+def read_speech(table: DataFrame, limit: int | None = None, order: tuple[str, ...] = ("id",), **how) -> DataFrame:
+    """A table of read speech to utterances of one accent.
+
+    limit takes the first ones by the order columns, which are unique and not null; they are chosen without their audio.
+    """
+    if limit is not None:
+        table = table.join(table.select(*order).orderBy(*order).limit(limit), list(order), "left_semi")
+    return corpus(table.withColumn("accent", F.lit(READ_ACCENT)), meta=("accent",), **how)
+
+
+def read_corpus(spark: SparkSession, name: str, path: str, readers: dict | None = None, limit: int | None = None) -> DataFrame:
+    """A corpus by its name: `read` (read speech, its first `limit` utterances by id) or `accented` (conversations)."""
+    if limit is not None and name != "read":
+        raise ValueError("only read speech has a limit")
+    known = {"read": lambda t: read_speech(t, limit), "accented": corpus} | (readers or {})
     if name not in known:
         raise ValueError(f"unknown corpus {name!r}; there are {sorted(known)}")
     return known[name](spark.read.parquet(path))

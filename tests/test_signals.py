@@ -214,3 +214,12 @@ def test_noise_mix_has_voices_for_babble(spark, monkeypatch):
     assert 6 <= len(pools["babble"]) <= signals.POOL_VOICES and {tuple(v) for v in pools["babble"]} <= own
     assert pools == {"white": None, "pink": None, "babble": pools["babble"]}
     assert {r.kind for r in rows} == set(S.NOISES) and all(r.reached_db == pytest.approx(r.snr_db, abs=0.05) for r in rows)
+    content = (tmp_path / "a.wav").read_bytes()
+    spoken = spark.createDataFrame([(f"{k:02d}", content, f"text {k}") for k in (7, 3, 11, 0, 5)], "id string, audio binary, text string").repartition(3)
+    spoken.write.parquet(str(tmp_path / "r"))
+    rows = audio.read_corpus(spark, "read", str(tmp_path / "r"), limit=3).collect()
+    assert sorted(r.reference for r in rows) == ["text 0", "text 3", "text 5"]
+    assert {r.meta["accent"] for r in rows} == {"read/US"} and all(r.error is None for r in rows)
+    assert audio.read_corpus(spark, "read", str(tmp_path / "r")).count() == 5
+    with pytest.raises(ValueError):
+        audio.read_corpus(spark, "accented", str(tmp_path / "c"), limit=1)
