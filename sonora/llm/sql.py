@@ -79,13 +79,16 @@ with l as (
   select doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 as line_no, unnest(string_split(text, chr(10))) as line from documents),
 w as (select doc_id, line_no, regexp_extract_all(line, '{_W}') as ws from l),
 o as (select * from w where len(ws) > 0),
-d as (select ws, min([doc_id, line_no]) as place, count(*) as n from o group by ws),
-v as (select ws, place, i, ws[:i - 1] || ws[i + 1:] as variant from (select *, unnest(range(1, len(ws) + 1)) as i from d where len(ws) >= 8)),
-f as (select variant, i, min(place) as first from v group by variant, i),
+e as (select ws, min([doc_id, line_no]) as place, count(*) as n from o group by ws),
+d as (
+  select *, case when len(ws) >= 8 then 'words' when length(array_to_string(ws, ' ')) >= 12 then 'characters' end as unit,
+    case when len(ws) >= 8 then ws else regexp_extract_all(array_to_string(ws, ' '), '(?s).') end as us from e),
+v as (select ws, place, unit, i, us[:i - 1] || us[i + 1:] as variant from (select *, unnest(range(1, len(us) + 1)) as i from d where unit is not null)),
+f as (select unit, variant, i, min(place) as first from v group by unit, variant, i),
 p as (
-  select v.ws, f.first as other from v join f on v.variant = f.variant and v.i = f.i where f.first < v.place
-  union all select v.ws, d.place from v join d on d.ws = v.variant where len(d.ws) >= 8 and d.place < v.place
-  union all select d.ws, v.place from v join d on d.ws = v.variant where len(d.ws) >= 8 and v.place < d.place),
+  select v.ws, f.first as other from v join f on v.unit = f.unit and v.variant = f.variant and v.i = f.i where f.first < v.place
+  union all select v.ws, d.place from v join d on d.unit = v.unit and d.us = v.variant where d.place < v.place
+  union all select d.ws, v.place from v join d on d.unit = v.unit and d.us = v.variant where v.place < d.place),
 n as (select ws, min(other) as near from p group by ws)
 select o.doc_id, o.line_no::integer as line_no, case when n.near is not null then 'near' else 'exact' end as kind,
   coalesce(n.near, d.place)[1] as first_doc_id, coalesce(n.near, d.place)[2]::integer as first_line_no

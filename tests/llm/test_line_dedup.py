@@ -32,6 +32,13 @@ def test_edit_check_halves_and_variants(a, b):
         assert met == near
 
 
+def compared(words):
+    """The kind of edit that a line is compared by, and its units."""
+    if len(words) >= 8:
+        return "words", words
+    return ("characters", tuple(" ".join(words))) if len(" ".join(words)) >= 12 else (None, ())
+
+
 def brute(rows):
     places = {}
     for doc_id, text in rows:
@@ -39,11 +46,12 @@ def brute(rows):
             if words := tuple(WORD.findall(line)):
                 places.setdefault(words, []).append((doc_id is None, doc_id or 0, number))
     first = {w: min(p) for w, p in places.items()}
+    units = {w: compared(w) for w in places}
     out = set()
     for words, own in places.items():
-        rank = first[words]
-        near = len(words) >= D.MIN_WORDS and any(
-            f < rank and len(o) >= D.MIN_WORDS and abs(len(o) - len(words)) <= 1 and edits(words, o) <= 1 for o, f in first.items()
+        rank, (kind, mine) = first[words], units[words]
+        near = kind is not None and any(
+            f < rank and units[o][0] == kind and abs(len(units[o][1]) - len(mine)) <= 1 and edits(mine, units[o][1]) <= 1 for o, f in first.items()
         )
         out |= {(p, "near" if near else "exact") for p in own if near or p != rank}
     return out
@@ -73,6 +81,32 @@ def test_against_brute_force(spark):
         assert (r.first_doc_id, r.first_line_no) < (r.doc_id, r.line_no)
 
 
+def test_short_lines_by_characters(spark):
+    rng = random.Random(9)
+    alphabet = "abé日 "
+    bases = ["".join(rng.choices(alphabet, k=rng.randrange(3, 40))) for _ in range(25)]
+    rows = []
+    for i in range(150):
+        line = list(rng.choice(bases))
+        for _ in range(rng.choice((0, 1, 1, 2))):
+            at = rng.randrange(len(line))
+            line[at : at + rng.randrange(2)] = rng.choices(alphabet, k=rng.randrange(2))
+        rows.append((i, "".join(line)))
+    rows += [(200, "All rights reserved."), (201, "All rights  reserved,"), (202, "Al rights reserved."), (203, "All rights"), (204, "All right"), (205, "a b c d e f g hi"), (206, "a b c d e f ghi")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute(rows)
+    assert got(df) == want
+    near = {p[1] for p, kind in want if kind == "near"}
+    assert len(near) > 20 and {201, 202} <= near and not {200, 203, 204, 205, 206} & near
+
+
+def test_a_long_line_of_one_word(spark):
+    line = "".join(random.Random(1).choices("abcdef", k=100_000))
+    rows = [(1, line), (2, line[:70_000] + line[70_001:]), (3, line[:10] + "x" + line[11:]), (4, line[:5] + line[6:-5] + line[-4:])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert got(df) == {((False, i, 0), "near") for i in (2, 3)}
+
+
 def test_hot_lines_keep_the_earliest(spark):
     hot = "the same very long line that many documents have in common"
     rows = [(i, f"{hot} {i}\n{hot}\nown {i}") for i in range(400)]
