@@ -7,6 +7,7 @@ import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +17,8 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 #: Rows that a Python function holds as objects at once; texts can be long.
 ROWS_AT_ONCE = 128
+#: Rows that such a function has made and not yet handed on, if it is a generator.
+ROWS_OUT = 65_536
 
 
 #: Rows of an Arrow batch, which is whole in memory on both sides. Tables may be sorted by length, so that
@@ -66,7 +69,8 @@ def written(df: DataFrame) -> DataFrame:
 def map_rows(df: DataFrame, rows: Callable[[list[tuple]], Iterable[tuple]], schema: str) -> DataFrame:
     """Applies rows(), which turns a short list of tuples into output tuples, to Arrow batches of df.
 
-    A task holds ROWS_AT_ONCE rows as Python objects and one Arrow batch, whatever the partition's size.
+    A task holds ROWS_AT_ONCE rows as Python objects, ROWS_OUT that were made of them and one Arrow batch, whatever
+    the partition's size.
     """
     target = T.StructType.fromDDL(schema)
     arrow = to_arrow_schema(target)
@@ -75,9 +79,10 @@ def map_rows(df: DataFrame, rows: Callable[[list[tuple]], Iterable[tuple]], sche
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS_AT_ONCE):
                 part = batch.slice(at, ROWS_AT_ONCE)
-                out = list(rows(list(zip(*(c.to_pylist() for c in part.columns), strict=True))))
-                columns = list(zip(*out, strict=True)) if out else [[] for _ in arrow]
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
+                made = iter(rows(list(zip(*(c.to_pylist() for c in part.columns), strict=True))))
+                while out := list(islice(made, ROWS_OUT)):
+                    columns = zip(*out, strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
 
     return bounded_batches(df).mapInArrow(run, target)
 

@@ -1,15 +1,16 @@
 r"""Line deduplication by a join of deletion neighbourhoods.
 
 A line's words are runs of anything but space and \t to \r; lines with equal words are equal. Every line
-with a word is compared with all lines of all documents: a line goes if an equal line comes earlier, or,
-when both have at least MIN_WORDS words, if a line within one word edit (a word replaced, added or left
-out) comes earlier. Earlier means a smaller (doc_id, line number), null ids last.
+with a word is compared with all lines of all documents: a line goes if an equal line comes earlier, or
+a line within one edit (a unit replaced, added or left out). Units are words, between lines of MIN_WORDS words or more,
+and code points of the words joined by spaces, between shorter lines of MIN_CHARS code points or more: so an edit is an
+eighth of a line at most. Earlier means a smaller (doc_id, line number), null ids last.
 
 1. Lines are hashed (128 bits) and equal lines become one, at its earliest place.
-2. Two lines within one edit agree on the first or on the last half of their words, counted for the
+2. Two lines within one edit agree on the first or on the last half of their units, counted for the
    shorter line. So only lines that share a hashed half with another line are candidates.
-3. A candidate emits the hash of every variant with one word of the other half left out, and its own. Lines with an
-   equal variant at the same word differ in that word, all of them pairwise, so each is joined with the
+3. A candidate emits the hash of every variant with one unit of the other half left out, and its own. Lines with an
+   equal variant at the same unit differ in that unit, all of them pairwise, so each is joined with the
    earliest of them only; a line that equals another's variant is joined with it. No group of lines is
    listed in pairs.
 4. The joined pairs are verified by their edit distance, and the later line of a pair goes.
@@ -32,27 +33,47 @@ from pyspark.sql import functions as F
 
 from sonora.llm.common import ROWS_AT_ONCE, bounded_batches, map_rows, small, written
 
-#: Shorter lines are compared for equality only: one word is too much of them.
+#: Shorter lines are compared by characters: one word is too much of them.
 MIN_WORDS = 8
+#: Lines shorter than both are compared for equality only: one character is too much of them.
+MIN_CHARS = 12
 
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
-def halves(words: list[bytes]) -> list[int]:
+def units(line: bytes) -> list[bytes] | str | None:
+    """The words of a line whose words are joined by spaces, or its code points, or None where equality is all."""
+    words = line.split(b" ")
+    if len(words) >= MIN_WORDS:
+        return words
+    text = line.decode()
+    return text if len(text) >= MIN_CHARS else None
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ x >> np.uint64(31)
+
+
+def halves(words: list[bytes] | str) -> list[int]:
     """Hashes such that two lines within one edit have one in common; last halves have odd ones.
 
     With the first half in common the edit is at (n - 1) // 2 or later, with the last one before (n + 1) // 2.
     """
     n = len(words)
+    joined = str.encode if isinstance(words, str) else b" ".join
     first, last = {n // 2, (n - 1) // 2}, {n - n // 2, n - 1 - (n - 1) // 2}
     keys = [(words[:k], k, 0) for k in sorted(first)] + [(words[n - k :], k, 1) for k in sorted(last)]
-    return [(xxhash.xxh3_64_intdigest(b" ".join(own), seed=2 * k + odd) & ~1 | odd) - (1 << 63) for own, k, odd in keys]
+    return [(xxhash.xxh3_64_intdigest(joined(own), seed=2 * k + odd) & ~1 | odd) - (1 << 63) for own, k, odd in keys]
 
 
-def variants(words: list[bytes]) -> np.ndarray:
-    """The hash of the words without each of them in turn, and last that of all of them."""
+def variants(words: list[bytes] | str) -> np.ndarray:
+    """The hash of the units without each of them in turn, and last that of all of them."""
     n = len(words)
-    own = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in words), np.uint64, n)
+    if isinstance(words, str):
+        own = _mixed(np.frombuffer(words.encode("utf-32-le"), np.uint32) * _FACTOR)
+    else:
+        own = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in words), np.uint64, n)
     powers = np.full(n + 1, _FACTOR, np.uint64)
     powers[0] = 1
     powers = np.multiply.accumulate(powers)
@@ -60,11 +81,10 @@ def variants(words: list[bytes]) -> np.ndarray:
     moved = np.concatenate(([np.uint64(0)], np.cumsum(own[1:] * powers[: n - 1])))
     out = np.append(before[:n] + (moved[-1] - moved), before[-1])
     out ^= np.append(np.full(n, n - 1, np.uint64), np.uint64(n)) << np.uint64(40)
-    out = (out ^ out >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
-    return (out ^ out >> np.uint64(31)).view(np.int64)
+    return _mixed(out).view(np.int64)
 
 
-def within_one_edit(a: list, b: list) -> bool:
+def within_one_edit(a: list | str, b: list | str) -> bool:
     if len(a) > len(b):
         a, b = b, a
     if len(b) - len(a) > 1:
@@ -77,9 +97,11 @@ def _lines(batch: list[tuple]) -> Iterable[tuple]:
     for doc_id, text_hash, text in batch:
         for number, line in enumerate(text.encode("utf-8", "replace").split(b"\n") if text else ()):
             if words := line.split():
-                digest = xxhash.xxh3_128_intdigest(b" ".join(words))
+                plain = b" ".join(words)
+                digest = xxhash.xxh3_128_intdigest(plain)
                 high, low = (digest >> 64) - (1 << 63), (digest & 0xFFFFFFFFFFFFFFFF) - (1 << 63)
-                yield doc_id, text_hash, number, high, low, halves(words) if len(words) >= MIN_WORDS else None
+                parts = units(plain)
+                yield doc_id, text_hash, number, high, low, parts and halves(parts)
 
 
 def _place(doc_id: str = "doc_id", number: str = "line_no") -> Column:
@@ -105,10 +127,10 @@ def _candidates(docs: DataFrame, distinct: DataFrame) -> tuple[DataFrame, DataFr
     def again(batch: list[tuple]) -> Iterable[tuple]:
         for doc_id, text in batch:
             for number, line in enumerate(text.encode("utf-8", "replace").split(b"\n") if text else ()):
-                words = line.split()
-                if len(words) >= MIN_WORDS:
-                    digest = xxhash.xxh3_128_intdigest(b" ".join(words))
-                    yield doc_id, number, (digest >> 64) - (1 << 63), (digest & 0xFFFFFFFFFFFFFFFF) - (1 << 63), b" ".join(words)
+                plain = b" ".join(line.split())
+                if units(plain):
+                    digest = xxhash.xxh3_128_intdigest(plain)
+                    yield doc_id, number, (digest >> 64) - (1 << 63), (digest & 0xFFFFFFFFFFFFFFFF) - (1 << 63), plain
 
     lines = map_rows(texts, again, "doc_id long, line_no int, high long, low long, words binary")
     found = lines.join(chosen, ["high", "low"]).filter(_place() == F.col("place"))
@@ -120,7 +142,7 @@ def _near(candidates: DataFrame) -> DataFrame:
 
     def emit(batch: list[tuple]) -> Iterable[tuple]:
         for rank, shared, words in batch:
-            found = variants(words.split(b" ")).tolist()
+            found = variants(units(words)).tolist()
             n = len(found) - 1
             yield found[n], -1, rank
             for at in range(0 if shared & 2 else (n - 1) // 2, n if shared & 1 else (n + 1) // 2):
@@ -139,7 +161,7 @@ def _near(candidates: DataFrame) -> DataFrame:
     sides = pairs.join(words, "rank").join(words.select(F.col("rank").alias("other"), F.col("words").alias("other_words")), "other")
 
     def verify(batch: list[tuple]) -> Iterable[tuple]:
-        return [(rank, other) for rank, other, a, b in batch if within_one_edit(a.split(b" "), b.split(b" "))]
+        return [(rank, other) for rank, other, a, b in batch if within_one_edit(units(a), units(b))]
 
     good = map_rows(sides.select("rank", "other", "words", "other_words"), verify, "rank long, other long")
     return good.groupBy("rank").agg(F.min("other").alias("other"))
