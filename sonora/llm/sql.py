@@ -62,15 +62,17 @@ t as (
   from c),
 a as (select *, row_number() over o as pos from t window o as (partition by conv_id order by turn nulls first, role, body)),
 s as (
-  select *, (coalesce(sum(case when pos = 1 and role = 'system' then 0 else tokens end) over (partition by conv_id order by pos rows between unbounded preceding and 1 preceding), 0) // 384)::bigint as span,
+  select *, coalesce(sum(case when pos = 1 and role = 'system' then 0 else tokens end) over (partition by conv_id order by pos rows between unbounded preceding and 1 preceding), 0) as before,
     length(head || body || '</turn>' || chr(10)) as chars, pos = 1 and role = 'system' as opens
   from a),
-f as (select *, coalesce(lag(span) over (partition by conv_id order by pos) <> span, true) as first from s),
+e as (select *, before // 384 as begins, (before + tokens - 1) // 384 as ends from s),
+b as (select *, case when not opens then [ends, (begins = ends)::int] end as cell from e),
+f as (select *, coalesce(lag(cell) over (partition by conv_id order by pos) <> cell, pos = 1) as first from b),
 h as (
   select *, case when opens then 0 else coalesce(lead(first, 1) over (partition by conv_id order by pos), false)::int + coalesce(lead(first, 2) over (partition by conv_id order by pos), false)::int end as again from f)
 select conv_id, count(*)::bigint as n_turns, sha256(string_agg(role || chr(10) || txt || chr(10), '' order by pos)) as turns_sha256,
   coalesce(sum(length(txt)) filter (role = 'assistant'), 0)::bigint as loss_chars, sha256(coalesce(string_agg(txt, '' order by pos) filter (role = 'assistant'), '')) as loss_sha256,
-  (sum(chars * (1 + again)) + coalesce(sum(chars) filter (opens), 0) * (count(distinct span) - 1))::bigint as formatted_chars
+  (sum(chars * (1 + again)) + coalesce(sum(chars) filter (opens), 0) * (count(*) filter (first) - 1))::bigint as formatted_chars
 from h group by conv_id
 """
 
