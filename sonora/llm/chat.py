@@ -1,7 +1,9 @@
 r"""Chat formatting in budgeted windows, by DataFrame functions only.
 
 A conversation's turns, in order, are written as `### role: text</turn>` and a newline each. Prefix sums of turn
-tokens choose turn-aligned spans: a turn belongs to the span in whose budget it begins. A span's window
+tokens choose turn-aligned spans: turns that begin and end within the same multiple of the budget are a span, and a
+turn that reaches over a multiple is one of its own. So a span's turns keep to the budget together, unless it is a
+single turn longer than that; a system turn that opens the conversation goes with the first span and does not count. A span's window
 starts with what is repeated (the system turn, if the conversation opens with one, and up to HISTORY
 turns before the span), then has the span's own turns. Only texts of assistant turns of the span itself
 are under the loss mask, so every target is learned once.
@@ -13,7 +15,7 @@ Null texts and roles are empty. Turns are ordered by turn, role and text, null t
 repeat are turns of their own, and ties in all three are equal in what is written. A null conv_id is a conversation
 like any other. Empty tables give no windows. Only conv_id, turn, role and text are read, so other columns may have any names.
 Texts may be of any length: a span is whole in memory. A turn is never
-cut: it may reach over its span's budget by any length, and what is repeated does not count. A span is collected into one row, a conversation only where the
+cut, and what is repeated before a span comes on top of its budget. A span is collected into one row, a conversation only where the
 query digests it.
 """
 
@@ -70,8 +72,11 @@ def windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY) -> D
     rows = rows.withColumn("at", F.row_number().over(order))
     opens = (F.col("at") == 1) & (F.col("role") == SYSTEM_ROLE)
     own_tokens = F.when(opens, F.lit(0)).otherwise(F.col("tokens"))
-    rows = rows.withColumn("span", F.floor(F.coalesce(F.sum(own_tokens).over(so_far), F.lit(0)) / budget))
-    rows = rows.withColumn("first", ~F.lag("span").over(order).eqNullSafe(F.col("span")))
+    before = F.coalesce(F.sum(own_tokens).over(so_far), F.lit(0))
+    begins, ends = F.floor(before / budget), F.floor((before + F.col("tokens") - 1) / budget)
+    rows = rows.withColumn("cell", F.when(~opens, 2 * ends + (begins == ends).cast("int")))
+    rows = rows.withColumn("first", F.coalesce(F.lag("cell").over(order) != F.col("cell"), F.col("at") == 1))
+    rows = rows.withColumn("span", F.sum(F.col("first").cast("long")).over(order.rowsBetween(W.unboundedPreceding, 0)) - 1)
     rows = rows.withColumn("system", F.when(F.col("first") & (F.col("at") > 1), F.first(F.when(F.col("role") == SYSTEM_ROLE, F.concat("head", "body"))).over(order)))
     later = [F.when(F.lead("first", h).over(order) & ~opens, F.lead("span", h).over(order)) for h in range(1, history + 1)]
     rows = rows.withColumn("later", F.array_compact(F.array(*later)) if later else F.array().cast("array<bigint>"))
