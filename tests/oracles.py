@@ -73,6 +73,17 @@ def isotonic(pairs, smooth):
     return [(x, float(y)) for x, y in knots]
 
 
+def predict(knots, score):
+    """Linear between knots; at or below the first x the first knot counts, at or above the last x the last, else of equal x the last."""
+    if score <= knots[0][0]:
+        return knots[0][1]
+    if score >= knots[-1][0]:
+        return knots[-1][1]
+    at = max(i for i, (x, _) in enumerate(knots) if x <= score)
+    (x0, y0), (x1, y1) = knots[at], knots[at + 1]
+    return y0 + (y1 - y0) * (score - x0) / (x1 - x0)
+
+
 def distance(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):

@@ -138,6 +138,21 @@ def test_policies_split_and_transfer(spark):
     assert {r.g: r.coverage_500 for r in C.coverage_matrix(df, BY, (0.5,)).collect()}["clean"] == 1
 
 
+#: Pairs whose plateaus end twice at each of three scores, in order of score.
+TIED = [(0.2, c) for c in (0, 0, 1, 0)] + [(0.5, c) for c in (1, 1, 0, 1, 1, 1, 0)] + [(0.8, c) for c in (1, 1, 1, 1, 0, 1, 1)]
+
+
+def test_held_out_report_where_knots_share_a_score(spark):
+    knots = O.isotonic(TIED, True)
+    assert [x for x, _ in knots] == [0.2, 0.2, 0.5, 0.5, 0.8, 0.8] and len({y for _, y in knots}) == 6
+    held = [((0.1, 0.2, 0.35, 0.5, 0.65, 0.8, 0.9)[i % 7], i % 3 > 0) for i in range(len(TIED))]
+    own = {"tied": [pair for both in zip(TIED, held, strict=True) for pair in both]}
+    after = [(O.predict(knots, x), c) for x, c in held]
+    report = C.held_out_report(frame(spark, own).repartition(5, "seq"), BY).collect()[0]
+    assert (report.ece_raw, report.nce_raw) == pytest.approx((O.ece(held), O.nce(held)))
+    assert (report.ece_calibrated, report.nce_calibrated) == pytest.approx((O.ece(after), O.nce(after)))
+
+
 def test_log_softmax_of_long_rows(spark):
     import numpy as np
     from pyspark.sql import functions as F
