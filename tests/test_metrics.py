@@ -153,6 +153,20 @@ def test_held_out_report_where_knots_share_a_score(spark):
     assert (report.ece_calibrated, report.nce_calibrated) == pytest.approx((O.ece(after), O.nce(after)))
 
 
+@pytest.mark.parametrize(("risk", "threshold", "accepted"), [(0.25, 4 / 6, 14), (0.15, 3 / 4, 7)])
+def test_policy_where_knots_share_a_score(spark, risk, threshold, accepted):
+    knots = O.isotonic(TIED, True)
+    value = [(O.predict(knots, x), c) for x, c in TIED]
+    df = frame(spark, {"tied": TIED}).repartition(5, "seq")
+    policies = C.fit_policies(df, BY, risk)
+    policy = policies.collect()[0]
+    assert [(k.x, pytest.approx(k.y)) for k in policy.knots] == knots and policy.n_fit == len(TIED)
+    assert (policy.threshold, policy.coverage, policy.realized_risk) == pytest.approx(O.threshold(value, risk))
+    assert policy.threshold == pytest.approx(threshold) and policy.coverage == pytest.approx(accepted / len(TIED))
+    moved = C.transfer(df, policies, BY).collect()[0]
+    assert moved.accepted == accepted and moved.delivered == pytest.approx(policy.realized_risk)
+
+
 def test_log_softmax_of_long_rows(spark):
     import numpy as np
     from pyspark.sql import functions as F
